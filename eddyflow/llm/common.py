@@ -93,7 +93,7 @@ def bounded_sample(df: DataFrame, key: str, text: str, max_rows: int, max_chars:
 
 
 # ---------------------------------------------------------------- batches
-def text_chunks(lengths: Sequence[int], max_chars: int = 1_000_000, max_rows: int = 2048) -> Iterator[tuple[int, int]]:
+def text_chunks(lengths: Sequence[int], max_chars: int = 400_000, max_rows: int = 1024) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``max_chars`` characters each (one row at least)."""
     start, total = 0, 0
     for i, n in enumerate(lengths):

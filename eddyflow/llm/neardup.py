@@ -12,9 +12,12 @@ the exact Jaccard similarity of their shingle sets (``threshold``, 0.8).
 
 Copies (equal word sequences) are linked to the least doc_id first. In each
 band bucket all members are compared with the least member, so that large
-groups cost a row per member; buckets that then still hold several components
-are compared across components, so that no candidate link is lost. Classes are
-the connected components; their id is the least doc_id.
+groups cost a row per member. Buckets that then still hold several components
+are compared across components, so that no candidate link is lost: pairs whose
+sketches (one bit a register) differ too much for the threshold are passed over
+(five deviations of the estimate), and members of crowded buckets must agree in
+a second band, as similar documents do. Classes are the connected components;
+their id is the least doc_id.
 
 Defined results: null texts and texts without words are alone in their class;
 rows that share a doc_id are one document and get the same class; a null doc_id
@@ -34,6 +37,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from eddyflow.llm.common import MIX1, MIX2, components, mix, settle, shingles, text_chunks, word_table, words
 
 BANDS, ROWS, SIZE, THRESHOLD = 32, 6, 5, 0.8
+CROWD = 64  # members of an open bucket from which on a second band must agree
 
 
 def distinct_weighted(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,10 +83,11 @@ def prob_minhash(h: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int, m: i
     return owner.reshape(n, m)
 
 
-def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: two hashes of its word sequence, its number of shingles, its bands."""
+def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: two hashes of its word sequence, its number of shingles, its bands, one bit of each register."""
     n = len(texts)
     exact, count, out = np.zeros((n, 2), np.uint64), np.zeros(n, np.int64), np.zeros((n, bands), np.uint64)
+    bits = np.zeros((n, -(-bands * rows // 64)), np.uint64)
     full = [t or "" for t in texts]
     for a, b in text_chunks([len(t) for t in full]):
         w, doc = words(full[a:b], kinds)
@@ -102,7 +107,10 @@ def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int
         for r in range(rows):
             key = mix(key * MIX2 + sig.reshape(b - a, bands, rows)[:, :, r])
         out[a:b] = mix(key + np.arange(bands, dtype=np.uint64) * MIX1)
-    return exact, count, out
+        odd = np.zeros((b - a, 64 * bits.shape[1]), np.uint8)
+        odd[:, : bands * rows] = (sig >> np.uint64(17)) & np.uint64(1)
+        bits[a:b] = np.packbits(odd, axis=1).view(np.uint64)
+    return exact, count, out, bits
 
 
 def similarities(left: Sequence[str | None], right: Sequence[str | None], kinds: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -125,15 +133,18 @@ def similarities(left: Sequence[str | None], right: Sequence[str | None], kinds:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """id, h1, h2 (the word sequence), n (shingles), bands of every document with a word."""
+    """id, h1, h2 (the word sequence), n (shingles), bands and bits of every document with a word."""
     kinds = word_table()
-    schema = StructType().add("id", docs.schema["id"].dataType).add("h1", LongType()).add("h2", LongType()).add("n", LongType()).add("bands", ArrayType(LongType()))
+    schema = StructType().add("id", docs.schema["id"].dataType).add("h1", LongType()).add("h2", LongType()).add("n", LongType()).add("bands", ArrayType(LongType())).add("bits", ArrayType(LongType()))
+
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exact, count, keys = sketch(batch.column(1).to_pylist(), kinds, bands, rows, size)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) * bands + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact[:, 0].view(np.int64)), pa.array(exact[:, 1].view(np.int64)), pa.array(count), flat], names=schema.names)
+            exact, count, keys, bits = sketch(batch.column(1).to_pylist(), kinds, bands, rows, size)
+            exact = exact.view(np.int64)
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array(count), lists(keys), lists(bits)], names=schema.names)
             yield out.filter(pa.array(count > 0))
 
     return docs.mapInArrow(run, schema)
@@ -168,13 +179,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bands:
     pairs = settle(members.filter("a <> x").select("a", "x").distinct(), "pairs")
     links = settle(copies.unionAll(verified(pairs, docs, threshold, size)), "links")
     comp = components(links.select("a", F.col("x").alias("b")))
-    # what is left: buckets that still hold several components
-    own = members.select("band", "x", "n").join(comp.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-    open_ = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    left = settle(own.join(open_, "band"), "open")
-    l, r = left.alias("l"), left.alias("r")
-    more = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.comp") != F.col("r.comp")) & (F.col("l.x") < F.col("r.x")) & (F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n")))
-    more = settle(more.select(F.col("l.x").alias("a"), F.col("r.x").alias("x")).distinct().join(pairs, ["a", "x"], "left_anti"), "pairs")
+    more = settle(crossing(members, sig, comp, threshold, bands * rows).join(pairs, ["a", "x"], "left_anti"), "pairs")
     if not more.isEmpty():
         found = settle(verified(more, docs, threshold, size), "links")
         if not found.isEmpty():
@@ -182,6 +187,24 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bands:
     return comp.select(F.col("node").alias(key), F.col("comp").alias("class_id"))
 
 
+def crossing(members: DataFrame, sig: DataFrame, comp: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """Pairs (a, x) of members of one bucket that are in different components and may be similar."""
+    own = members.select("band", "x", "n").join(comp.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    open_ = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo <> hi").select("band", "many")
+    left = settle(own.join(open_, "band").join(sig.select(F.col("id").alias("x"), "bands", "bits"), "x"), "open")
+    cols = ["x", "n", "comp", "bits"]
+    few = left.filter(F.col("many") <= CROWD).select(F.col("band").alias("key"), *cols)
+    crowd = left.filter(F.col("many") > CROWD).select("band", *cols, F.explode("bands").alias("other")).filter("other <> band").select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("key"), *cols).distinct()
+    both = few.unionAll(crowd)
+    # registers agree with probability p, bits with (1 + p) / 2; p is at least near the threshold
+    p = (1 - threshold) / 2
+    limit = int(registers * p + 5 * (registers * p * (1 - p)) ** 0.5) + 1
+    l, r = both.alias("l"), both.alias("r")
+    apart = sum((F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits")[i])) for i in range(-(-registers // 64))), F.lit(0))
+    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (F.col("l.x") < F.col("r.x")) & (F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n")) & (apart <= limit)
+    return l.join(r, near).select(F.col("l.x").alias("a"), F.col("r.x").alias("x")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """Every row of ``docs``: key, class_id, and whether the row's document stays for its class."""
     found = classes(docs, key=key, **options)
