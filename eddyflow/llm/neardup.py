@@ -13,11 +13,10 @@ the exact Jaccard similarity of their shingle sets (``threshold``, 0.8).
 Copies (equal word sequences) are linked to the least doc_id first. In each
 band bucket all members are compared with the least member, so that large
 groups cost a row per member. Buckets that then still hold several components
-are compared across components, so that no candidate link is lost: pairs whose
-sketches (one bit a register) differ too much for the threshold are passed over
-(five deviations of the estimate), and members of crowded buckets must agree in
-a second band, as similar documents do. Classes are the connected components;
-their id is the least doc_id.
+are compared across components, block by block of about ``BLOCK`` members, so that
+no candidate link is lost and only links leave the comparison. Shingle sets
+travel as 32-bit hashes, and only those of documents in buckets. Classes are the connected components; their id is the
+least doc_id.
 
 Defined results: null texts and texts without words are alone in their class;
 rows that share a doc_id are one document and get the same class; a null doc_id
@@ -27,17 +26,18 @@ has a null class; very long texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from eddyflow.llm.common import MIX1, MIX2, components, mix, settle, shingles, text_chunks, word_table, words
 
 BANDS, ROWS, SIZE, THRESHOLD = 32, 6, 5, 0.8
-CROWD = 64  # members of an open bucket from which on a second band must agree
+BLOCK = 256
 
 
 def distinct_weighted(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,11 +83,10 @@ def prob_minhash(h: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int, m: i
     return owner.reshape(n, m)
 
 
-def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: two hashes of its word sequence, its number of shingles, its bands, one bit of each register."""
+def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: two hashes of its word sequence, its number of shingles, its bands."""
     n = len(texts)
     exact, count, out = np.zeros((n, 2), np.uint64), np.zeros(n, np.int64), np.zeros((n, bands), np.uint64)
-    bits = np.zeros((n, -(-bands * rows // 64)), np.uint64)
     full = [t or "" for t in texts]
     for a, b in text_chunks([len(t) for t in full]):
         w, doc = words(full[a:b], kinds)
@@ -107,63 +106,48 @@ def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int
         for r in range(rows):
             key = mix(key * MIX2 + sig.reshape(b - a, bands, rows)[:, :, r])
         out[a:b] = mix(key + np.arange(bands, dtype=np.uint64) * MIX1)
-        odd = np.zeros((b - a, 64 * bits.shape[1]), np.uint8)
-        odd[:, : bands * rows] = (sig >> np.uint64(17)) & np.uint64(1)
-        bits[a:b] = np.packbits(odd, axis=1).view(np.uint64)
-    return exact, count, out, bits
-
-
-def similarities(left: Sequence[str | None], right: Sequence[str | None], kinds: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """Exact Jaccard similarity of the shingle sets of each pair; 0 where either has none."""
-    out = np.zeros(len(left))
-    left, right = [t or "" for t in left], [t or "" for t in right]
-    for a, b in text_chunks([len(x) + len(y) for x, y in zip(left, right, strict=True)]):
-        n = b - a
-        h, of = shingles(*words(left[a:b] + right[a:b], kinds), 2 * n, size)
-        if not len(h):
-            continue
-        h, of, _ = distinct_weighted(h, of)
-        each = np.bincount(of, minlength=2 * n)
-        pair = np.where(of >= n, of - n, of)
-        order = np.lexsort((h, pair))
-        same = (h[order][1:] == h[order][:-1]) & (pair[order][1:] == pair[order][:-1])
-        both = np.bincount(pair[order][1:][same], minlength=n)
-        out[a:b] = both / np.maximum(each[:n] + each[n:] - both, 1)
-    return out
+    return exact, count, out
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """id, h1, h2 (the word sequence), n (shingles), bands and bits of every document with a word."""
+    """id, h1, h2 (the word sequence), n (shingles) and bands of every document with a word."""
     kinds = word_table()
-    schema = StructType().add("id", docs.schema["id"].dataType).add("h1", LongType()).add("h2", LongType()).add("n", LongType()).add("bands", ArrayType(LongType())).add("bits", ArrayType(LongType()))
+    schema = StructType().add("id", docs.schema["id"].dataType).add("h1", LongType()).add("h2", LongType()).add("n", LongType()).add("bands", ArrayType(LongType()))
 
     def lists(x: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exact, count, keys, bits = sketch(batch.column(1).to_pylist(), kinds, bands, rows, size)
+            exact, count, keys = sketch(batch.column(1).to_pylist(), kinds, bands, rows, size)
             exact = exact.view(np.int64)
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array(count), lists(keys), lists(bits)], names=schema.names)
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array(count), lists(keys)], names=schema.names)
             yield out.filter(pa.array(count > 0))
 
     return docs.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs (a, x) whose texts are similar enough."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Rows (id, s) of the documents with the given ids: their distinct shingles."""
     kinds = word_table()
-    need = pairs.select(F.explode(F.array("a", "x")).alias("id")).distinct()
-    texts = settle(docs.join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    rows = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "x", "ta", "tx")
-    schema = StructType([pairs.schema["a"], pairs.schema["x"]])
+    schema = StructType([docs.schema["id"]]).add("s", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            j = similarities(batch.column(2).to_pylist(), batch.column(3).to_pylist(), kinds, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "x"]).filter(pa.array(j >= threshold))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in text_chunks([len(t) for t in texts]):
+                h, of = shingles(*words(texts[a:b], kinds), b - a, size)
+                h, of, _ = distinct_weighted(h & np.uint64(0xFFFFFFFF), of)
+                ends = np.searchsorted(of, np.arange(b - a + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))], names=["id", "s"])
+
+    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, schema)
+
+def similar(a: Column, x: Column, threshold: float) -> Column:
+    """Whether two sets are as similar as the threshold by Jaccard."""
+    both = F.size(F.array_intersect(a, x))
+    return both >= threshold * (F.size(a) + F.size(x) - both)
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
@@ -177,32 +161,63 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bands:
     buckets = settle(keys.groupBy("band").agg(F.min("x").alias("a"), F.max("x").alias("z")).filter("a <> z").select("band", "a"), "buckets")
     members = settle(keys.join(buckets, "band"), "members")
     pairs = settle(members.filter("a <> x").select("a", "x").distinct(), "pairs")
-    links = settle(copies.unionAll(verified(pairs, docs, threshold, size)), "links")
+    sets = settle(shingle_sets(docs, pairs.select(F.explode(F.array("a", "x")).alias("id")).distinct(), size), "sets")
+    tried = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    links = settle(copies.unionAll(tried.filter(similar(F.col("sa"), F.col("sx"), threshold)).select("a", "x")), "links")
     comp = components(links.select("a", F.col("x").alias("b")))
-    more = settle(crossing(members, sig, comp, threshold, bands * rows).join(pairs, ["a", "x"], "left_anti"), "pairs")
+    more = settle(crossing(members, sets, comp, threshold), "links")
     if not more.isEmpty():
-        found = settle(verified(more, docs, threshold, size), "links")
-        if not found.isEmpty():
-            comp = components(links.unionAll(found).select("a", F.col("x").alias("b")))
+        comp = components(links.unionAll(more).select("a", F.col("x").alias("b")))
     return comp.select(F.col("node").alias(key), F.col("comp").alias("class_id"))
 
 
-def crossing(members: DataFrame, sig: DataFrame, comp: DataFrame, threshold: float, registers: int) -> DataFrame:
-    """Pairs (a, x) of members of one bucket that are in different components and may be similar."""
-    own = members.select("band", "x", "n").join(comp.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-    open_ = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo <> hi").select("band", "many")
-    left = settle(own.join(open_, "band").join(sig.select(F.col("id").alias("x"), "bands", "bits"), "x"), "open")
-    cols = ["x", "n", "comp", "bits"]
-    few = left.filter(F.col("many") <= CROWD).select(F.col("band").alias("key"), *cols)
-    crowd = left.filter(F.col("many") > CROWD).select("band", *cols, F.explode("bands").alias("other")).filter("other <> band").select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("key"), *cols).distinct()
-    both = few.unionAll(crowd)
-    # registers agree with probability p, bits with (1 + p) / 2; p is at least near the threshold
-    p = (1 - threshold) / 2
-    limit = int(registers * p + 5 * (registers * p * (1 - p)) ** 0.5) + 1
-    l, r = both.alias("l"), both.alias("r")
-    apart = sum((F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits")[i])) for i in range(-(-registers // 64))), F.lit(0))
-    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (F.col("l.x") < F.col("r.x")) & (F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n")) & (apart <= limit)
-    return l.join(r, near).select(F.col("l.x").alias("a"), F.col("r.x").alias("x")).distinct()
+def crossing(members: DataFrame, sets: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, x) between members of one bucket that are in different components.
+
+    Members are dealt into blocks by hash, those of the least member's component
+    apart from the rest, and the blocks of the rest meet all blocks of the bucket: a
+    row holds two blocks, never a bucket.
+    """
+    own = members.select("band", "x").join(comp.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    open_ = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("many"), F.min_by("comp", "x").alias("first")).filter("lo <> hi").select("band", "first", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+    rows = own.join(open_, "band").join(sets.withColumnRenamed("id", "x"), "x").withColumn("own", F.col("comp") == F.col("first")).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")))
+    packs = settle(rows.groupBy("band", "own", "block").agg(F.collect_list(F.struct("x", "comp", "s")).alias("docs")), "packs")
+    both = packs.alias("l").join(packs.alias("r"), (F.col("l.band") == F.col("r.band")) & ~F.col("l.own") & (F.col("r.own") | (F.col("l.block") <= F.col("r.block")))).select(F.col("l.docs").alias("l"), F.col("r.docs").alias("r"))
+    kind = members.schema["x"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                l, r = (batch.column(k).slice(i, 1).flatten() for k in (0, 1))
+                a, x = links_between(*(np.asarray(v) for y in (l, r) for v in (y.field("comp"), y.field("s").flatten(), y.field("s").value_lengths())), threshold)
+                yield pa.RecordBatch.from_arrays([l.field("x").take(pa.array(a)), r.field("x").take(pa.array(x))], names=["a", "x"])
+
+    return both.mapInArrow(run, StructType().add("a", kind).add("x", kind)).distinct()
+
+
+def links_between(comp_l: np.ndarray, set_l: np.ndarray, size_l: np.ndarray, comp_r: np.ndarray, set_r: np.ndarray, size_r: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (left, right) of similar documents of two blocks that are in different components."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    terms, at = np.unique(set_r, return_inverse=True)
+    ends_l, ends_r = np.cumsum(size_l), np.cumsum(size_r)
+    mark = np.zeros(len(terms) + 1, bool)
+    place = np.minimum(np.searchsorted(terms, set_l), max(len(terms) - 1, 0))
+    place = np.where(terms[place] == set_l, place, len(terms)) if len(terms) else np.zeros(len(set_l), np.int64)
+    for i in range(len(comp_l)):
+        maybe = (comp_r > comp_l[i]) | (comp_r < comp_l[i])
+        maybe &= np.minimum(size_r, size_l[i]) >= threshold * np.maximum(size_r, size_l[i])
+        if not maybe.any():
+            continue
+        own = place[ends_l[i] - size_l[i] : ends_l[i]]
+        mark[own] = True
+        mark[-1] = False
+        found = np.concatenate([[0], np.cumsum(mark[at])])
+        both = found[ends_r] - found[ends_r - size_r]
+        mark[own] = False
+        j = np.flatnonzero(maybe & (both >= threshold * (size_l[i] + size_r - both)))
+        left.append(np.full(len(j), i))
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
