@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,12 +27,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-@query(
-    "W01_tumble",
-    """SELECT event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS lo, max(value) AS hi
-    FROM events GROUP BY ALL""",
-)
-def tumble(spark: SparkSession, d: str) -> DataFrame:
-    w = F.window("ts", "1 day")
-    x = table(spark, d, "events").groupBy("event_type", w).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return x.select("event_type", F.col("window.start").alias("window_start"), "n", "total", "mean", "lo", "hi")
+def text(name: str, spark_sql: str, oracle: str | None = None) -> None:
+    """Register a query given as SQL, in which ``$name`` is a table; the oracle's is the same unless given."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return spark.sql(re.sub(r"\$(\w+)", lambda m: f"parquet.`{d}/{m[1]}.parquet`", spark_sql))
+
+    QUERIES[name] = run
+    ORACLE[name] = re.sub(r"\$(\w+)", r"\1", oracle or spark_sql)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from eddyflow.plans import changes, front, functions, relational, streams, timejoins, windows  # noqa: F401
+
+
+load()
