@@ -141,7 +141,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 ends = np.searchsorted(of, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))], names=["id", "s"])
 
-    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, schema)
+    return docs.join(ids.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, schema)
 
 
 def similar(a: Column, x: Column, threshold: float) -> Column:
@@ -153,13 +153,14 @@ def similar(a: Column, x: Column, threshold: float) -> Column:
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (key, class_id) of every document that has a near duplicate, the class's own id included."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
+    # joins with what grows with the documents are sorted merges at every size, which spill and split
     sig = settle(signatures(docs, bands, rows, size), "signatures")
     groups = settle(sig.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("times")).filter("times > 1"), "copies")
-    copies = settle(sig.select("id", "h1", "h2").join(groups, ["h1", "h2"]).filter("id <> a").select("a", F.col("id").alias("x")), "links")
-    single = sig.select("id", "n", "bands").join(copies.select(F.col("x").alias("id")), "id", "left_anti")
+    copies = settle(sig.select("id", "h1", "h2").join(groups.hint("merge"), ["h1", "h2"]).filter("id <> a").select("a", F.col("id").alias("x")), "links")
+    single = sig.select("id", "n", "bands").join(copies.select(F.col("x").alias("id")).hint("merge"), "id", "left_anti")
     keys = single.select(F.col("id").alias("x"), "n", F.explode("bands").alias("band"))
     buckets = settle(keys.groupBy("band").agg(F.min("x").alias("a"), F.max("x").alias("z")).filter("a <> z").select("band", "a"), "buckets")
-    members = settle(keys.join(buckets, "band"), "members")
+    members = settle(keys.join(buckets.hint("merge"), "band"), "members")
     pairs = settle(members.filter("a <> x").select("a", "x").distinct(), "pairs")
     sets = settle(shingle_sets(docs, pairs.select(F.explode(F.array("a", "x")).alias("id")).distinct(), size), "sets")
     tried = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -229,4 +230,4 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataF
 def without_near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each class; all columns are kept, rows without a key too."""
     lost = classes(docs, key=key, **options).filter(F.col("class_id") != F.col(key)).select(key)
-    return docs.join(lost, key, "left_anti").select(docs.columns)
+    return docs.join(lost.hint("merge"), key, "left_anti").select(docs.columns)
