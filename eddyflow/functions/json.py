@@ -180,7 +180,7 @@ def each(f: Callable, kind: str, *columns: Column, dump: bool = False) -> Column
             v = parsed(values[0])
             r = None if v is MISSING else f(v, *values[1:])
             out.append(dumped(r) if dump and v is not MISSING else r)
-        return pd.Series(out, dtype=object)
+        return pd.Series(out, dtype="boolean" if kind == "boolean" else object)
 
     one = (lambda a: run(a)) if len(columns) == 1 else (lambda a, b: run(a, b))
     return F.pandas_udf(on_series(one), kind)(*columns)

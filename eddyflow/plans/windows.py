@@ -17,10 +17,10 @@ def sums():
 @query(
     "W01_tumble",
     """SELECT event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 day' AS window_end,
-    count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS lo, max(value) AS hi FROM events GROUP BY ALL""",
+    count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM events GROUP BY ALL""",
 )
 def tumble(spark, d):
-    more = [F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    more = [F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi")]
     return w.aggregate(table(spark, d, "events"), w.tumble("ts", "1 day"), ["event_type"], sums() + more)
 
 

@@ -31,7 +31,7 @@ def json(df: DataFrame, column: str, ddl: str, *, root: str | None = None, explo
     x = df.withColumn("_j", F.col(column) if root is None else F.get_json_object(column, root))
     if explode:
         items = F.from_json(F.get_json_object("_j", explode), "array<variant>")
-        x = x.withColumn("_j", F.to_json(F.explode(items)))
+        x = x.withColumn("_j", F.explode(items)).withColumn("_j", F.to_json("_j"))
     x = x.withColumn("_v", F.from_json("_j", schema, {"mode": "FAILFAST" if mismatch == "reject" else "PERMISSIVE"}))
     names = F.array(*map(F.lit, schema.names))
     more = F.array_except(F.coalesce(F.json_object_keys("_j"), F.array().cast("array<string>")), names)
