@@ -155,7 +155,8 @@ def drop(j: Column, names: list[str]) -> Column:
 
 
 # ---------------------------------------------------------------- whole values
-MISSING = object()
+class MISSING:
+    """Stands for what is no JSON; a class, so that it is the same one in workers."""
 
 
 def parsed(text: Any) -> Any:
@@ -178,8 +179,8 @@ def each(f: Callable, kind: str, *columns: Column, dump: bool = False) -> Column
         out = []
         for values in zip(first, *rest, strict=True):
             v = parsed(values[0])
-            r = None if v is MISSING else f(v, *values[1:])
-            out.append(dumped(r) if dump and v is not MISSING else r)
+            r = MISSING if v is MISSING else f(v, *values[1:])
+            out.append(None if r is MISSING else dumped(r) if dump else r)
         return pd.Series(out, dtype="boolean" if kind == "boolean" else object)
 
     one = (lambda a: run(a)) if len(columns) == 1 else (lambda a, b: run(a, b))
@@ -189,7 +190,7 @@ def each(f: Callable, kind: str, *columns: Column, dump: bool = False) -> Column
 def both(f: Callable, kind: str, a: Column, b: Column, dump: bool = False) -> Column:
     def run(x: Any, y: Any) -> Any:
         y = parsed(y)
-        return None if y is MISSING else f(x, y)
+        return MISSING if y is MISSING else f(x, y)
 
     return each(run, kind, a, b, dump=dump)
 
