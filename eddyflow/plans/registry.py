@@ -39,7 +39,7 @@ def text(name: str, spark_sql: str, oracle: str | None = None) -> None:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from eddyflow.plans import changes, front, functions, relational, streams, timejoins, windows  # noqa: F401
+    from eddyflow.plans import changes, front, functions, relational, sources, streams, timejoins, windows  # noqa: F401
 
 
 load()

@@ -91,6 +91,19 @@ def temporal_filter(df: DataFrame, key: str, ts: str, keep: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(run, schema, "us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def in_order(df: DataFrame, ts: str, bucket: str, order: list[str]) -> DataFrame:
+    """Rows sorted by time as far as the watermark has passed: bucket by bucket, with their place in it.
+
+    ``df`` has a watermark on ``ts``; a bucket comes out, sorted, once it is closed.
+    """
+    cols = [ts, *order, *(c for c in df.columns if c not in (ts, *order))]
+    from eddyflow.operators import windows as w
+
+    sorted_ = F.array_sort(F.collect_list(F.struct(*cols)))
+    x = df.groupBy(w.tumble(ts, bucket).alias("_w")).agg(sorted_.alias("_rows"))
+    return x.select(F.col("_w.start").cast("timestamp_ntz").alias("bucket"), F.posexplode("_rows").alias("place", "_r")).select("bucket", "place", "_r.*")
+
+
 class LateSplit:
     """A sink that parts each micro-batch into rows on time and late rows (a side output).
 
