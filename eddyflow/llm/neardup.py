@@ -26,7 +26,6 @@ has a null class; very long texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
