@@ -37,9 +37,11 @@ ENDS_P = frozenset("address article aside blockquote center details div dl field
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 # Fixed words of class names and ids that tell page furniture.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|widget|widgets|footer|foot|masthead|topbar|toolbar"
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|widget|widgets|footer|foot|masthead|topbar|toolbar"
     r"|header|notice|notices|cookie|cookies|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comment|comments|commentlist|disqus|replies|reply|respond|reader-comments|share|sharing|social|related|recommended|recommendations|pagination|pager|skip|form|search|toc)(?:$|[\s_-])"
 )
+#: Names that only look so: layouts that mention furniture, and headings of the article itself.
+APART = re.compile(r"\b(?:no|has|with|without)[-_](?:\w+[-_])?(?:sidebar|menu|nav|header|footer|ads?|comments?)\b|\b(?:entry|post|article|content|story)[-_]?(?:header|heading)\b")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -60,12 +62,12 @@ def furniture(name: str, attrs: str) -> bool:
     """Whether an element is page furniture by its name, role, class or id."""
     if name in FURNITURE:
         return True
-    if not attrs or name in ("html", "body", "article", "main", "p", "span", "a", "b", "i", "em", "strong"):
+    if not attrs or name in ("html", "body", "article", "main", "span", "a", "b", "i", "em", "strong"):
         if name != "article" or not attrs:
             return False
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and NAMES.search(value) and not (name == "article" and not re.search("comment|related|promo|teaser|sponsor|repl", value)):
+        if key in ("class", "id") and NAMES.search(APART.sub(" ", value)) and not (name == "article" and not re.search("comment|related|promo|teaser|sponsor|repl", value)):
             return True
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True

@@ -400,7 +400,12 @@ again   long enough&nbsp;to matter &eacute;.</div><script>var x = "<p>no</p>";</
 <section id="comments"><p>Great article, I loved reading this very long comment text here, thanks a lot to all.</p></section><form><label>Your name</label></form><footer>Copyright of the page, all rights reserved.</footer>"""
 
 
+INSIDE = """<body class="has-sidebar"><nav>Menu of the site</nav><div class="layout with-sidebar"><main><header class="entry-header"><h1>Headline</h1></header><p>Text of the article in one paragraph.</p><p class="ad">Buy this now, a long advert inside the article, really cheap.</p>
+<aside>An aside that is no part of it.</aside><form><p>Subscribe here please</p></form><div role="dialog">We value your privacy</div><p>And its end.</p><section class="comments-area"><p>I liked it a lot, says a reader, in a long comment that goes on and on.</p></section></main></div><div class="site-footer">Imprint</div>"""
+
+
 def test_main_text_without_marks(spark):
+    assert htmltext.main_text(INSIDE) == "Headline\nText of the article in one paragraph.\nAnd its end."
     assert htmltext.main_text(PLAIN) == "Title\nFirst paragraph of the text with several words in it, enough to count as text.\nShort.\nSecond & longer paragraph with more words in it, again long enough to matter é.\npoint one\npoint two"
     for bad in (None, "", "<", "<p", "<!--", "</p></p>", "<div>" * 3000, '<a href="' * 2000, "<script>never closed", "&amp" * 1000):
         assert isinstance(htmltext.main_text(bad), str)
