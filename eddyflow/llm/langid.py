@@ -85,11 +85,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def train(
     texts: Sequence[str], labels: Sequence[str], *, bits: int = 15, dim: int = 12, window: int = 24,
-    max_windows: int = 16_000, epochs: int = 4, rate: float = 4.0, batch: int = 64, seed: int = 5, reject_quantile: float = 0.001,
+    max_windows: int = 16_000, epochs: int = 4, rate: float = 4.0, batch: int = 64, seed: int = 5, reject_quantile: float = 0.001, reject_at_most: float = 0.4,
 ) -> LanguageModel | None:
     """Fit on labelled texts; every fifth document is kept for calibration.
 
-    ``max_windows`` bounds the training windows (drawn evenly over documents).
+    ``max_windows`` bounds the training windows (drawn evenly over documents). The
+    rejection score is the one that nearly all right calibration texts exceed, but
+    ``reject_at_most``: texts in two languages keep the stronger one.
     """
     kinds, rng = word_table(), np.random.default_rng(seed)
     languages = sorted(set(labels))
@@ -137,7 +139,7 @@ def train(
         p = softmax(z / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == truth]
         if len(right):
-            model.reject_below = float(min(np.quantile(right, reject_quantile) * 0.9, 0.5))
+            model.reject_below = float(min(np.quantile(right, reject_quantile) * 0.9, reject_at_most))
     return model
 
 
