@@ -29,7 +29,10 @@ def stream(spark, d, parts=4, columns="*"):
 CLOSED = "WITH m AS (SELECT max(ts) - INTERVAL '{delay}' AS wm FROM events) "
 
 
-@query("ST01_stream_tumble", CLOSED.format(delay="1 hour") + """SELECT event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events, m GROUP BY ALL, wm HAVING time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 day' <= wm""".replace("GROUP BY ALL, wm", "GROUP BY event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01'), wm"))
+DAY = "time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')"
+
+
+@query("ST01_stream_tumble", CLOSED.format(delay="1 hour") + f"SELECT event_type, {DAY} AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events, m GROUP BY event_type, {DAY}, wm HAVING {DAY} + INTERVAL '1 day' <= wm")
 def stream_tumble(spark, d):
     e = run.with_watermark(stream(spark, d), "ts", "1 hour")
     x = e.groupBy(w.tumble("ts", "1 day").alias("window"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -39,7 +42,7 @@ def stream_tumble(spark, d):
 @query(
     "ST02_stream_hop",
     CLOSED.format(delay="1 hour") + """, x AS (SELECT *, unnest([0, 1]) AS k, time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') AS b FROM events)
-    SELECT b - k * INTERVAL '12 hours' AS window_start, count(*) AS n FROM x, m GROUP BY b, k, wm HAVING b - k * INTERVAL '12 hours' + INTERVAL '1 day' <= wm""".replace("SELECT b - k * INTERVAL '12 hours' AS window_start, count(*) AS n FROM x, m GROUP BY b, k, wm HAVING b - k * INTERVAL '12 hours' + INTERVAL '1 day' <= wm", "SELECT window_start, count(*) AS n FROM (SELECT b - k * INTERVAL '12 hours' AS window_start, wm FROM x, m) GROUP BY window_start, wm HAVING window_start + INTERVAL '1 day' <= wm"),
+    SELECT window_start, count(*) AS n FROM (SELECT b - k * INTERVAL '12 hours' AS window_start, wm FROM x, m) GROUP BY window_start, wm HAVING window_start + INTERVAL '1 day' <= wm""",
 )
 def stream_hop(spark, d):
     e = run.with_watermark(stream(spark, d), "ts", "1 hour")
@@ -140,3 +143,33 @@ def mv_replace(spark, d):
     x = stream(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     run.start(x, mode="complete", sink=view, available=True, checkpoint=f"{folder}/cp").awaitTermination()
     return view.read()
+
+
+SIDES = """WITH l AS (SELECT event_id AS l_id, user_id AS l_user, ts AS l_ts FROM events WHERE event_type = 'click'), r AS (SELECT event_id AS r_id, user_id AS r_user, ts AS r_ts FROM events WHERE event_type = 'purchase'), m AS (SELECT max(ts) - INTERVAL '2 hours' AS wm FROM events) """
+
+
+def sides(spark, d):
+    part = lambda kind, p: stream(spark, d).filter(F.col("event_type") == kind).select(F.col("event_id").alias(f"{p}_id"), F.col("user_id").alias(f"{p}_user"), F.col("ts").alias(f"{p}_ts"))
+    return part("click", "l"), part("purchase", "r")
+
+
+def settled(spark, d, at: str):
+    """Up to where the watermark is sure to have come: two hours before the last event, one of them the delay."""
+    last = table(spark, d, "events").agg(F.max("ts")).first()[0]
+    return F.expr(at) <= F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 2 HOURS")
+
+
+@query("J09_stream_asof", SIDES + "SELECT l_id, r_id FROM l ASOF LEFT JOIN r ON l.l_user = r.r_user AND l.l_ts >= r.r_ts, m WHERE l_ts <= wm")
+def stream_asof(spark, d):
+    from eddyflow.streaming import joins
+
+    got = run.drain(joins.asof(*sides(spark, d), [("l_user", "r_user")], "l_ts", "r_ts", delay="1 hour"))
+    return got.filter(settled(spark, d, "l.l_ts")).select("l.l_id", "r.r_id")
+
+
+@query("J10_stream_probe", SIDES + ", q AS (SELECT *, unnest([0, 3600000])::BIGINT AS o FROM l), p AS (SELECT *, l_ts + o * INTERVAL 1 MILLISECOND AS pt FROM q) SELECT l_id, o AS p_offset_ms, r_id FROM p ASOF LEFT JOIN r ON p.l_user = r.r_user AND p.pt >= r.r_ts, m WHERE pt <= wm")
+def stream_probe(spark, d):
+    from eddyflow.streaming import joins
+
+    got = run.drain(joins.probe(*sides(spark, d), [("l_user", "r_user")], "l_ts", "r_ts", [0, 3_600_000], delay="1 hour"))
+    return got.filter(settled(spark, d, "l.l_ts + make_dt_interval(0, 0, 0, l.p_offset_ms / 1000)")).select("l.l_id", "l.p_offset_ms", "r.r_id")
