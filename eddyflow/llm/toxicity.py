@@ -117,18 +117,29 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
 
 def learned_lexicon(texts: Sequence[str], y: np.ndarray, kinds: np.ndarray, ratio: float = 40.0) -> np.ndarray:
     """Words and word heads in several toxic texts whose odds there exceed ``ratio`` times those in clean texts."""
-    w, doc, *heads = words(texts, kinds, HEADS)
-    if not len(w) or not 0 < y.sum() < len(y):
+    if not 0 < y.sum() < len(y):
         return np.zeros(0, np.uint64)
-    least = np.clip(0.02 * y.sum(), 4, 8)
-    terms, term = np.unique(np.concatenate([w, *heads]), return_inverse=True)
-    seen = np.unique(term * len(texts) + np.tile(doc, 1 + len(heads)))
-    term, toxic = seen // len(texts), y[seen % len(texts)] == 1
-    pos, neg = np.bincount(term[toxic], minlength=len(terms)), np.bincount(term[~toxic], minlength=len(terms))
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a, b in text_chunks([len(t) for t in texts]):
+        w, doc, *heads = words(texts[a:b], kinds, HEADS)
+        terms, term = np.unique(np.concatenate([w, *heads]), return_inverse=True)
+        seen = np.unique(term * (b - a) + np.tile(doc, 1 + len(heads)))
+        toxic = y[a + seen % (b - a)] == 1
+        parts.append((terms, np.bincount(seen[toxic] // (b - a), minlength=len(terms)), np.bincount(seen[~toxic] // (b - a), minlength=len(terms))))
+        if len(parts) > 8:
+            parts = [merged(parts)]
+    terms, pos, neg = merged(parts)
+    least = np.clip(0.01 * y.sum(), 4, 8)
     odds = ((pos + 0.5) / (y.sum() + 1)) / ((neg + 0.5) / ((1 - y).sum() + 1))
     return terms[(pos >= least) & (odds >= ratio)]
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by term, summed."""
+    terms, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return terms, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(terms)).astype(np.int64) for k in (1, 2))
+
+
 def inputs(m: np.ndarray, n_lex: int) -> np.ndarray:
     """The dense inputs of the classifier."""
     hits, n = m[:, :n_lex], np.maximum(m[:, n_lex + 2], 1)
@@ -141,17 +152,22 @@ def train(texts: Sequence[str], labels: Sequence[int], *, epochs: int = 30, rate
     lexicons = [*fixed, learned_lexicon(texts, y, kinds)]
     prior = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
     n_lex = len(lexicons)
-    m, n, w, doc = measures(texts, lexicons, kinds)
     if not len(texts):
         return ToxicityModel(lexicons, np.zeros(1 << BITS), np.concatenate([np.ones(n_lex), np.zeros(2 * n_lex + 3)]), -1.0, 4.0, 0.0, np.zeros(0), np.zeros(0))
+    # features of a chunk of texts at a time: the slots of a text's words, each once, with its weight
+    m, slots, values, first = [], [], [], [0]
+    for a, b in text_chunks([len(t) for t in texts]):
+        own, n, w, doc = measures(texts[a:b], lexicons, kinds)
+        m.append(own)
+        key, times = np.unique(doc << BITS | (w >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+        slots.append((key & ((1 << BITS) - 1)).astype(np.int32))
+        values.append((times / np.sqrt(np.maximum(n, 1))[key >> BITS]).astype(np.float32))
+        first += (first[-1] + np.searchsorted(key >> BITS, np.arange(1, b - a + 1))).tolist()
+    m, slot, value, first = np.concatenate(m), np.concatenate(slots), np.concatenate(values), np.array(first)
     v = votes(m, n_lex)
     p, accuracy, share = label_model(v, prior)
-    dense, slot = inputs(m, n_lex), (w >> np.uint64(64 - BITS)).astype(np.int64)
-    value = 1 / np.sqrt(np.maximum(n, 1))[doc]
+    dense = inputs(m, n_lex)
     rng, weights, dw, bias = np.random.default_rng(seed), np.zeros(1 << BITS), np.zeros(dense.shape[1]), float(np.log(prior / (1 - prior)))
-    order = np.argsort(doc, kind="stable")
-    doc, slot, value = doc[order], slot[order], value[order]
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
     for epoch in range(epochs):
         step = rate / (1 + 0.2 * epoch)
         order = rng.permutation(len(texts))
@@ -186,7 +202,7 @@ def logits(texts: Sequence[str | None], model: ToxicityModel, kinds: np.ndarray)
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", held_fold: int = 2, folds: int = 4, max_rows: int = 6000, max_chars: int = 24_000_000, **options) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", held_fold: int = 2, folds: int = 4, max_rows: int = 6000, max_chars: int = 16_000_000, **options) -> ToxicityModel:
     """Train on at most ``max_rows`` labelled documents (and ``max_chars``) outside the held fold."""
     known = labels.filter(F.col(label).isNotNull() & (fold(key, folds) != held_fold)).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
