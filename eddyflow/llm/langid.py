@@ -164,7 +164,7 @@ def predict(texts: Sequence[str | None], model: LanguageModel | None, kinds: np.
     return lang, score
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", held_fold: int = 0, folds: int = 5, max_docs: int = 3000, max_chars: int = 12_000_000, **options) -> LanguageModel | None:
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", held_fold: int = 0, folds: int = 5, max_docs: int = 2500, max_chars: int = 8_000_000, **options) -> LanguageModel | None:
     """Train on at most ``max_docs`` labelled documents (and ``max_chars``) outside the held fold."""
     known = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (fold(key, folds) != held_fold)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"))
     rows = sorted(((r.k, r.l, r.t) for r in bounded_sample(known, "k", "t", max_docs, max_chars).toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
