@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,13 @@ def text_chunks(lengths: Sequence[int], max_chars: int = 400_000, max_rows: int
         yield start, len(lengths)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut into small ones, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def word_table() -> np.ndarray:
     """For every code point of the basic plane: 1 for letters, 2 for other word characters, else 0."""
     out = np.zeros(65536, np.uint8)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructType
 
-from eddyflow.llm.common import MIX2, mix, shingles, text_chunks, word_table, words
+from eddyflow.llm.common import MIX2, mix, shingles, slices, text_chunks, word_table, words
 
 K1, B = 1.2, 0.75
 
@@ -227,7 +227,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
     def against(index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 found = leaks_in(batch.column(1).to_pylist(), index, kinds, least, overlap)
                 ids = batch.column(0).take(pa.array([r[0] for r in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([index.items[r[1]] for r in found], item_type), *(pa.array([r[j] for r in found], pa.float64()) for j in range(2, 6))], names=schema.names)
@@ -245,7 +245,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item
         where = docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r[0] for r in leaks_in(batch.column(where).to_pylist(), index, kinds, least, overlap)]] = False
                 yield batch.filter(pa.array(keep))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from eddyflow.llm.common import MIX1, MIX2, bounded_sample, code_points, fold, text_chunks, word_table
+from eddyflow.llm.common import MIX1, MIX2, bounded_sample, code_points, fold, slices, text_chunks, word_table
 
 UND = "und"
 
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text: str = "text"
     schema = StructType(list(docs.schema.fields)).add(lang, "string").add(score, "double").add(rejected, "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = predict(batch.column(where).to_pylist(), model, kinds)
             low = [x == UND or s < model.reject_below for x, s in zip(names, scores, strict=True)] if model else [True] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(low, pa.bool_())], names=[f.name for f in schema])

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from eddyflow.llm.common import MIX1, MIX2, components, mix, settle, shingles, text_chunks, word_table, words
+from eddyflow.llm.common import MIX1, MIX2, components, mix, settle, shingles, slices, text_chunks, word_table, words
 
 BANDS, ROWS, SIZE, THRESHOLD = 32, 6, 5, 0.8
 BLOCK = 256
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             exact, count, keys = sketch(batch.column(1).to_pylist(), kinds, bands, rows, size)
             exact = exact.view(np.int64)
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array(count), lists(keys)], names=schema.names)
@@ -132,7 +132,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     schema = StructType([docs.schema["id"]]).add("s", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_chunks([len(t) for t in texts]):
                 h, of = shingles(*words(texts[a:b], kinds), b - a, size)
@@ -186,7 +186,7 @@ def crossing(members: DataFrame, sets: DataFrame, comp: DataFrame, threshold: fl
     kind = members.schema["x"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for i in range(batch.num_rows):
                 l, r = (batch.column(k).slice(i, 1).flatten() for k in (0, 1))
                 a, x = links_between(*(np.asarray(v) for y in (l, r) for v in (y.field("comp"), y.field("s").flatten(), y.field("s").value_lengths())), threshold)

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from eddyflow.llm.common import slices
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "phone_local", "email_masked", "ipv6", "mac", "birth_date")
 KINDS = BASE + ADDED
@@ -271,7 +273,7 @@ def detect(docs: DataFrame, model: Trees, *, key: str = "doc_id", text: str = "t
     schema.add("base_sha256", StringType()).add("spans", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [spans_of(t or "", model) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(x[0] == k for x in b) for b, _ in found], pa.int64()) for k in BASE]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([joined(b + a) for b, a in found], pa.string())], names=schema.names)
@@ -284,7 +286,7 @@ def redact(docs: DataFrame, model: Trees, *, text: str = "text") -> DataFrame:
     where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             clean = [None if t is None else redacted(t, [x for part in spans_of(t, model) for x in part]) for t in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == where else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from eddyflow.llm.common import bounded_sample, fold, text_chunks, word_table, words
+from eddyflow.llm.common import bounded_sample, fold, slices, text_chunks, word_table, words
 
 # Fixed lexicons, by category.
 LEXICONS = {
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: s
     schema = StructType([docs.schema[key]]).add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             z = logits(batch.column(1).to_pylist(), model, kinds)
             p = 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= limit).astype(np.int32))], names=schema.names)
