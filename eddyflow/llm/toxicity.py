@@ -203,10 +203,17 @@ def logits(texts: Sequence[str | None], model: ToxicityModel, kinds: np.ndarray)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", held_fold: int = 2, folds: int = 4, max_rows: int = 6000, max_chars: int = 16_000_000, **options) -> ToxicityModel:
-    """Train on at most ``max_rows`` labelled documents (and ``max_chars``) outside the held fold."""
-    known = labels.filter(F.col(label).isNotNull() & (fold(key, folds) != held_fold)).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
+    """Train on at most ``max_rows`` labelled documents (and ``max_chars``) outside the held fold.
+
+    Labels are sampled first, so that a bounded set of keys goes to the documents.
+    """
+    known = labels.filter(F.col(label).isNotNull() & (fold(key, folds) != held_fold)).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y")).filter("k IS NOT NULL")
+    share = min(1.0, max_rows / max(known.count(), 1))
+    if share < 1.0:
+        known = known.filter(F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 30)) < int(share * 0.97 * (1 << 30)))
+    known = known.limit(max_rows)
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    sample = bounded_sample(rows.join(known, "k"), "k", "t", max_rows, max_chars)
+    sample = bounded_sample(rows.join(F.broadcast(known), "k"), "k", "t", max_rows, max_chars)
     got = sorted(((r.k, r.t, int(r.y > 0)) for r in sample.toLocalIterator()))
     return train([r[1] for r in got], [r[2] for r in got], **options)
 
