@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         known = known.filter(F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 30)) < int(share * 0.97 * (1 << 30)))
     known = known.limit(max_rows)
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    sample = bounded_sample(rows.join(F.broadcast(known), "k"), "k", "t", max_rows, max_chars)
+    sample = bounded_sample(rows.join(F.broadcast(known), "k"), "k", "t", max_rows, max_chars, salt=18)
     got = sorted(((r.k, r.t, int(r.y > 0)) for r in sample.toLocalIterator()))
     return train([r[1] for r in got], [r[2] for r in got], **options)
 
