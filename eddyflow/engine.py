@@ -29,6 +29,7 @@ from eddyflow.streaming import run as streaming
 from eddyflow.streaming.views import Subscription, View
 
 ORDER = "__arrival"
+SKEW = 300  # seconds that an event may be ahead of the clock and still move the watermark
 
 
 class Engine:
@@ -248,11 +249,15 @@ class Engine:
         return f"CAST(timestamp_micros({us if us is not None else -(1 << 60)}) AS TIMESTAMP_NTZ)"
 
     def watermark(self, source: str) -> int | None:
-        """The source's event-time bound in microseconds: its last time less the delay, or what was set if later."""
+        """The source's event-time bound in microseconds: its last time less the delay, or what was set if later.
+
+        Times too far ahead of the clock do not count.
+        """
         x = self.catalog.get(source, "source")
         if not x.watermark:
             return None
-        last = self.spark.table(source).agg(F.max(in_micros(F.col(x.watermark[0])))).first()[0]
+        us = in_micros(F.col(x.watermark[0]))
+        last = self.spark.table(source).agg(F.max(F.when(us <= (time.time() + SKEW) * 1e6, us))).first()[0]
         seen = [v for v in (None if last is None else last - x.watermark[1], self.watermarks.get(source)) if v is not None]
         return max(seen, default=None)
 

@@ -43,6 +43,9 @@ def test_late_and_null_rows_are_dropped(engine):
     engine.execute("INSERT INTO trades VALUES ('L', 1.0, 1, TIMESTAMP_NTZ '2024-01-01 00:00:01'), ('N', 1.0, 1, NULL)")
     assert engine.sql("SELECT COUNT(*) FROM trades").first()[0] == 3
     assert engine.metrics["trades"] == {"rows": 3, "late": 1, "null_time": 1}
+    before = engine.watermark("trades")
+    engine.execute("INSERT INTO trades VALUES ('F', 1.0, 1, TIMESTAMP_NTZ '2999-01-01 00:00:00')")
+    assert engine.watermark("trades") == before  # a clock far ahead moves nothing
 
 
 def test_asof_sql(spark):
