@@ -229,24 +229,20 @@ class Engine:
         q = rewrite.split_emit(text)
         mark, late = None, 0
         if q.emit in ("on window close", "final"):
-            source = self._time_source(q.sql)
-            if source is None:
+            sources = self._time_sources(q.sql)
+            if not sources:
                 raise StreamError(f"EMIT {q.emit.upper()} needs a source with a watermark")
-            mark, late = self._watermark_sql(source), source.lateness_us
+            marks = [self.watermark(x.name) for x in sources]
+            least = -(1 << 60) if None in marks else min(marks)  # the slowest source holds all windows open
+            mark, late = f"CAST(timestamp_micros({least}) AS TIMESTAMP_NTZ)", max(x.lateness_us for x in sources)
         done = rewrite.rewrite(self.spark, text, watermark=mark, lateness_us=late)
         return self.spark.sql(done.sql)
 
-    def _time_source(self, sql: str) -> Object | None:
-        used = [lex.name_of(t.text) for t in lex.tokens(sql) if t.kind in ("word", "name")]
-        names = [n for n in used if n in self.catalog.objects]
-        for n in [*names, *(m for k in names for m in self.catalog.upstream(k))]:
-            if self.catalog.objects[n].watermark:
-                return self.catalog.objects[n]
-        return None
-
-    def _watermark_sql(self, x: Object) -> str:
-        us = self.watermark(x.name)
-        return f"CAST(timestamp_micros({us if us is not None else -(1 << 60)}) AS TIMESTAMP_NTZ)"
+    def _time_sources(self, sql: str) -> list[Object]:
+        """All sources with a watermark that a query reads, itself or through streams."""
+        used = {lex.name_of(t.text) for t in lex.tokens(sql) if t.kind in ("word", "name")} & set(self.catalog.objects)
+        names = used | {m for k in used for m in self.catalog.upstream(k)}
+        return [self.catalog.objects[n] for n in sorted(names) if self.catalog.objects[n].watermark]
 
     def watermark(self, source: str) -> int | None:
         """The source's event-time bound in microseconds: its last time less the delay, or what was set if later.
@@ -378,11 +374,9 @@ class Engine:
     def view(self, name: str, path: str | None = None) -> View:
         """The epochs kept of a stream or view (under ``path``, or the session's shared folder)."""
         if name not in self.views:
-            from eddyflow.plans.streams import scratch
-
             x = self.catalog.get(name, "stream", "view")
             retain = x.options.get("retain_history")
-            self.views[name] = View(self.spark, path or scratch(self.spark), "append", int(re.sub(r"\D", "", retain)) if retain else None)
+            self.views[name] = View(self.spark, path or streaming.scratch(self.spark), "append", int(re.sub(r"\D", "", retain)) if retain else None)
         return self.views[name]
 
     def run_cycle(self, name: str) -> int:

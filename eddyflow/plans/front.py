@@ -88,7 +88,7 @@ def pushdown(spark, d):
 def round_trip(name: str, fmt: str, sql: str, **options) -> None:
     @query(name, sql)
     def run(spark, d):
-        from eddyflow.plans.streams import scratch
+        from eddyflow.streaming.run import scratch
 
         folder = scratch(spark)
         df = table(spark, d, "nation")
@@ -127,7 +127,7 @@ def otel_logs(spark, d):
 
 @query("K09_sink_filter", "SELECT event_id, value FROM events WHERE event_type = 'click' AND value > 50")
 def sink_filter(spark, d):
-    from eddyflow.plans.streams import scratch
+    from eddyflow.streaming.run import scratch
 
     folder = scratch(spark)
     e = engine(spark, d)

@@ -35,11 +35,3 @@ def text(name: str, spark_sql: str, oracle: str | None = None) -> None:
 
     QUERIES[name] = run
     ORACLE[name] = re.sub(r"\$(\w+)", r"\1", oracle or spark_sql)
-
-
-def load() -> None:
-    """Import the modules that register queries."""
-    from eddyflow.plans import changes, front, functions, relational, sources, streams, timejoins, windows  # noqa: F401
-
-
-load()

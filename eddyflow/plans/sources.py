@@ -11,9 +11,10 @@ from eddyflow.functions import ai
 from eddyflow.operators import windows as w
 from eddyflow.plans.front import engine
 from eddyflow.plans.registry import query, table, text
-from eddyflow.plans.streams import scratch, stream
+from eddyflow.plans.streams import stream
 from eddyflow.sources import connectors, files, formats
 from eddyflow.streaming import run, stateful, views
+from eddyflow.streaming.run import scratch
 
 c = F.col
 text("TM03_now", "SELECT count(*) AS n FROM $events WHERE ts < now()", "SELECT count(*) AS n FROM $events WHERE ts < now()::TIMESTAMP")

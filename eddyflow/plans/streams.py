@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from eddyflow.operators import changelog as cl
 from eddyflow.operators import windows as w
 from eddyflow.plans.registry import query, table
 from eddyflow.streaming import run, stateful, views
-
-
-def scratch(spark) -> str:
-    """A new folder in the shared one of the cluster, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="eddyflow-stream-")
+from eddyflow.streaming.run import scratch
 
 
 def stream(spark, d, parts=4, columns="*"):

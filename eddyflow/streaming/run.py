@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -88,6 +89,12 @@ def drain(df: DataFrame, *, mode: str = "append", name: str | None = None, check
     return spark.table(name)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one of the cluster, or a local one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="eddyflow-stream-")
+
+
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files: int = 1, **options) -> DataFrame:
     """A stream of the files under a folder, ``files`` of them in each micro-batch."""
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files).options(**options).load(path)

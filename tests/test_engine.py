@@ -39,6 +39,14 @@ def test_emit_on_window_close(engine):
         engine.sql("SELECT COUNT(*) FROM trades EMIT ON WINDOW CLOSE")
 
 
+def test_slowest_source_holds_windows_open(engine):
+    engine.execute("CREATE SOURCE news (symbol VARCHAR, nts TIMESTAMP, WATERMARK FOR nts AS nts)")
+    q = "SELECT window_start, COUNT(*) AS n FROM (SELECT t.ts FROM trades t LEFT JOIN news w ON t.symbol = w.symbol) GROUP BY TUMBLE(ts, INTERVAL '5' SECOND) EMIT ON WINDOW CLOSE"
+    assert engine.sql(q).count() == 0
+    engine.execute("INSERT INTO news VALUES ('Z', TIMESTAMP_NTZ '2024-01-01 00:01:00')")
+    assert engine.sql(q).count() == 1
+
+
 def test_late_and_null_rows_are_dropped(engine):
     engine.execute("INSERT INTO trades VALUES ('L', 1.0, 1, TIMESTAMP_NTZ '2024-01-01 00:00:01'), ('N', 1.0, 1, NULL)")
     assert engine.sql("SELECT COUNT(*) FROM trades").first()[0] == 3

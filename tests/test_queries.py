@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from eddyflow.plans import registry
+from eddyflow.plans import everything as registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
