@@ -3,9 +3,11 @@
 Markup is stripped into lines, one for each block of text. A line's weight is
 its text length, lessened by the share that stands in links and set to nothing
 inside page furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, comments), which elements and class names tell. Weights are
-summed over windows of following lines. Where the sum rises from under the
-threshold (nothing, where the page marks its article) is a surge, where it has fallen back to nothing a dive; the
+forms, comments), which elements and class names tell. Where the page marks
+its article, every line of it with weight is the text. Elsewhere weights are
+summed over windows of following lines; furniture between two lines of one
+container does not part them and is left out before. Where the sum rises from
+under the threshold is a surge, where it has fallen back to nothing a dive; the
 stretches between surge and dive hold the text, and those that together hold
 the page's main mass are kept, line by line.
 
@@ -31,6 +33,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas head title textarea select button audio video map".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
+#: Elements that hold lines of one text; only the other blocks are containers of their own.
+FLOW = frozenset("address blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr legend li ol option p pre section summary table tbody tfoot thead title tr ul".split())
 FURNITURE = frozenset("nav footer aside form menu dialog header".split())
 #: A paragraph ends where one of these starts; a list item where the next one does, and so on.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -56,6 +60,7 @@ class Line:
     linked: int
     furniture: bool
     main: int  # number of the article or main element it is in, or 0
+    container: int  # number of the innermost container it is in, or 0
 
 
 def furniture(name: str, attrs: str) -> bool:
@@ -77,22 +82,22 @@ def furniture(name: str, attrs: str) -> bool:
 def lines(page: str) -> list[Line]:
     """Strip the markup: the blocks of text in page order."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # name, furniture, main element
+    stack: list[tuple[str, bool, int, int]] = []  # name, furniture, main element, container
     hidden = 0
     buffer: list[str] = []
-    linked, links, mains = 0, 0, 0
+    linked, links, mains, containers = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             if text := SPACE.sub(" ", html.unescape("".join(buffer))).strip():
-                out.append(Line(text, linked, any(x[1] for x in stack), stack[-1][2] if stack else 0))
+                out.append(Line(text, linked, any(x[1] for x in stack), *(stack[-1][2:] if stack else (0, 0))))
             buffer.clear()
         linked = 0
 
     def close(k: int) -> None:
         nonlocal hidden, links
-        for name, _, _ in stack[k:]:
+        for name, *_ in stack[k:]:
             hidden -= name in HIDDEN
             links -= name == "a"
         del stack[k:]
@@ -153,7 +158,8 @@ def lines(page: str) -> list[Line]:
         if name == "header" and stack and any(x[2] for x in stack) and not any(x[1] for x in stack):
             bad = False  # an article's own heading
         mains += (main := name in ("article", "main") and not bad)
-        stack.append((name, bad, (stack[-1][2] if stack and stack[-1][2] else mains * main)))
+        containers += (holds := name in BLOCKS and name not in FLOW)
+        stack.append((name, bad, (stack[-1][2] if stack and stack[-1][2] else mains * main), containers if holds else stack[-1][3] if stack else 0))
         hidden += name in HIDDEN
         links += name == "a"
         if len(stack) > 2000:
@@ -177,6 +183,22 @@ def weights(rows: list[Line]) -> tuple[np.ndarray, bool]:
     return w, told
 
 
+def joined(rows: list[Line]) -> np.ndarray:
+    """Positions of all lines but the furniture between two lines of one container."""
+    out: list[int] = []
+    between: list[int] = []
+    last = None
+    for i, row in enumerate(rows):
+        if row.furniture:
+            between.append(i)
+            continue
+        if row.container != last:
+            out += between
+        between, last = [], row.container
+        out.append(i)
+    return np.array(out + between, np.int64)
+
+
 def stretches(w: np.ndarray, window: int, least: float) -> list[tuple[int, int]]:
     """Surge to dive: [start, end) from where window sums rise over the threshold to where they are nothing."""
     if not w.any():
@@ -198,14 +220,19 @@ def stretches(w: np.ndarray, window: int, least: float) -> list[tuple[int, int]]
 
 
 def main_text(page: str | None, window: int = 3, surge: float = 80.0, share: float = 0.25) -> str:
-    """The lines of weight between surges and dives, of all stretches with ``share`` of the largest's mass."""
+    """The lines of weight in the page's marked article; without one, those between surges and dives, of all stretches with ``share`` of the largest's mass."""
     rows = lines(page or "")
     if not rows:
         return ""
     w, told = weights(rows)
-    found = stretches(w, window, 0.0 if told else surge)
-    mass = [w[a:b].sum() for a, b in found]
-    keep = [i for (a, b), s in zip(found, mass, strict=True) if s >= share * max(mass) for i in range(a, b) if w[i] > 0]
+    if told:
+        keep = np.flatnonzero(w > 0).tolist()
+    else:
+        at = joined(rows)
+        w = w[at]
+        found = stretches(w, window, surge)
+        mass = [w[a:b].sum() for a, b in found]
+        keep = [at[i] for (a, b), s in zip(found, mass, strict=True) if s >= share * max(mass) for i in range(a, b) if w[i] > 0]
     return "\n".join(rows[i].text for i in keep)
 
 

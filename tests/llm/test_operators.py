@@ -414,6 +414,18 @@ def test_main_text_without_marks(spark):
     assert htmltext.extract(x.limit(0)).count() == 0
 
 
+def test_main_text_keeps_short_stretches():
+    """Furniture inside an article does not cut off its heading or its end, with or without a mark."""
+    share = '<ul class="share"><li>One<li>Two<li>Three</ul>'
+    advert = '<div class="ad"><p>Buy it.</p></div><aside>Aside.</aside><form><p>Subscribe.</p></form>'
+    body = "A long paragraph of the article. " * 100
+    want = f"Headline of the article\n{body.strip()}\nAnd its end."
+    for tag in ("article", "main", 'div class="content"'):
+        assert htmltext.main_text(f'<nav>Menu</nav><{tag}><h1>Headline of the article</h1>{share}<p>{body}</p>{advert}<section><p>And its end.</p></section></{tag.split()[0]}><div class="sidebar"><p>A teaser.</p></div><footer>Imprint</footer>') == want
+    # short text of another container stays apart
+    assert htmltext.main_text(f'<div><p>Some short slogan of the site.</p></div>{share}<div><h1>Headline of the article</h1><p>{body}</p>{advert}<p>And its end.</p></div>') == want
+
+
 # ---------------------------------------------------------------- 10 top k
 def test_top_k(spark, small):
     e = table(spark, small, "embeddings")
