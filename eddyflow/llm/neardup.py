@@ -1,13 +1,15 @@
-"""Operator 5, near duplicates: ProbMinHash over weighted shingles, banding, verification.
+"""Operator 5, near duplicates: ProbMinHash over shingles, banding, verification.
 
 A document is the set of its five-word shingles (words in lower case; a text of
-one to four words is a single shingle), each weighted 1 + ln(times it occurs).
+one to four words is a single shingle).
 Every shingle is a Poisson process whose rate is its weight; each arrival falls
 on one register, and a register keeps the shingle that arrived first. A shingle
 stops when its next arrival is later than the slowest register, so that long
 documents cost about one arrival a shingle. Two documents agree in a register
-with the probability Jaccard similarity of their weighted shingles. Registers
-are cut into bands; equal bands make candidates, and candidates are verified by
+with the probability Jaccard similarity of their weighted shingles. All distinct
+shingles weigh the same here, however often they occur, so that this is the
+similarity that links are verified by. Registers are cut into bands; equal bands
+make candidates, and candidates are verified by
 the exact Jaccard similarity of their shingle sets (``threshold``, 0.8).
 
 Copies (equal word sequences) are linked to the least doc_id first. In each
@@ -98,9 +100,9 @@ def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int
         place = np.arange(len(w)) - np.repeat(heads, counts[some])
         for j, step in enumerate((MIX1, MIX2)):
             exact[a + some, j] = mix(np.add.reduceat(mix(w + (place.astype(np.uint64) + np.uint64(1)) * step), heads))
-        h, of, weight = distinct_weighted(h, of)
+        h, of, _ = distinct_weighted(h, of)
         count[a:b] = np.bincount(of, minlength=b - a)
-        sig = prob_minhash(h, of, weight, b - a, bands * rows)
+        sig = prob_minhash(h, of, np.ones(len(h)), b - a, bands * rows)
         key = np.zeros((b - a, bands), np.uint64)
         for r in range(rows):
             key = mix(key * MIX2 + sig.reshape(b - a, bands, rows)[:, :, r])

@@ -267,6 +267,23 @@ def test_near_duplicates_in_crowds(spark):
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(x).collect()} == classes_by_hand(rows)
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    """Lines that one copy repeats many times leave the similarity of the sets, and the link, as they are."""
+    rng = random.Random(6)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(0, 80, 2):
+        base = some(104)
+        rows += [(k, base), (k + 1, f"{base} " + f"{some(10)} " * 300)]
+    for k in range(80, 120, 2):
+        base = some(104)
+        rows += [(k + j, f"{base} " + f"{some(5)} " * 300) for j in (0, 1)]
+    want = classes_by_hand(rows)
+    assert len(set(want.values())) == len(rows) // 2
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(x).collect()} == want
+
+
 def test_near_duplicates_edges(spark, edge):
     got = rows_of(neardup.near_duplicates(edge), "doc_id", "class_id")
     assert got == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None), (6, 6), (6, 6), (7, 7), (8, 8)], key=str)
