@@ -157,15 +157,16 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bands:
     # joins with what grows with the documents are sorted merges at every size, which spill and split
     sig = settle(signatures(docs, bands, rows, size), "signatures")
     groups = settle(sig.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("times")).filter("times > 1"), "copies")
-    copies = settle(sig.select("id", "h1", "h2").join(groups.hint("merge"), ["h1", "h2"]).filter("id <> a").select("a", F.col("id").alias("x")), "links")
-    single = sig.select("id", "n", "bands").join(copies.select(F.col("x").alias("id")).hint("merge"), "id", "left_anti")
+    copies = settle(sig.select("id", "h1", "h2").join(groups.hint("merge"), ["h1", "h2"]).filter("id <> a").select("a", F.col("id").alias("x"), "h1", "h2"), "links")
+    # a copy leaves by its text too: rows of one id may have several
+    single = sig.join(copies.select(F.col("x").alias("id"), "h1", "h2").hint("merge"), ["id", "h1", "h2"], "left_anti").select("id", "n", "bands")
     keys = single.select(F.col("id").alias("x"), "n", F.explode("bands").alias("band"))
     buckets = settle(keys.groupBy("band").agg(F.min("x").alias("a"), F.max("x").alias("z")).filter("a <> z").select("band", "a"), "buckets")
     members = settle(keys.join(buckets.hint("merge"), "band"), "members")
     pairs = settle(members.filter("a <> x").select("a", "x").distinct(), "pairs")
     sets = settle(shingle_sets(docs, pairs.select(F.explode(F.array("a", "x")).alias("id")).distinct(), size), "sets")
     tried = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    links = settle(copies.unionAll(tried.filter(similar(F.col("sa"), F.col("sx"), threshold)).select("a", "x")), "links")
+    links = settle(copies.select("a", "x").unionAll(tried.filter(similar(F.col("sa"), F.col("sx"), threshold)).select("a", "x")), "links")
     comp = components(links.select("a", F.col("x").alias("b")))
     more = settle(crossing(members, sets, comp, threshold), "links")
     if not more.isEmpty():

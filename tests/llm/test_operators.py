@@ -291,6 +291,15 @@ def test_near_duplicates_edges(spark, edge):
     assert neardup.without_near_duplicates(edge).columns == edge.columns
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    """The other text of a copy's id still finds its near copies."""
+    rng = random.Random(8)
+    one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(3))
+    rows = [(1, one), (2, one), (2, two), (3, two + " end"), (4, three), (5, three + " end")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(neardup.near_duplicates(x), "doc_id", "class_id") == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+
+
 def test_probability_jaccard():
     rng = random.Random(1)
     a = [f"w{rng.randrange(3000)}" for _ in range(500)]
