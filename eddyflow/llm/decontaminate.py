@@ -8,7 +8,9 @@ of twice ``part_words`` words, half overlapping, over the whole text) is a
 query. The bound of a block is the sum of its maxima over the passage's rarer
 terms plus what its frequent terms can add at most; only blocks whose bound
 reaches ``retrieve`` are opened and scored exactly, and all parts above it are
-candidates. A candidate item leaks if the document holds at least ``overlap`` of
+candidates. An item whose words stand far apart in a document scores low in each
+passage, so items of which the whole document holds ``overlap`` of the shingles
+are candidates too, with the score of their best part over the whole document. A candidate item leaks if the document holds at least ``overlap`` of
 its five-word shingles, and at least half of its question's (all sentences but
 the last) and of its answer's (the last sentence).
 
@@ -60,6 +62,9 @@ class Index:
     slack: np.ndarray  # of each block: most that its frequent terms can add
     block: int
     part_words: int
+    grams: np.ndarray  # sorted shingles of all items
+    gram_ptr: np.ndarray
+    gram_item: np.ndarray
 
 
 def spread(ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +118,14 @@ def build(ids: Sequence, texts: Sequence[str | None], kinds: np.ndarray, *, part
     easy = np.bincount(p_part[~rare[p_term]], impact[~rare[p_term]], minlength=n)
     slack = np.zeros(n_blocks)
     np.maximum.at(slack, np.arange(n) // block, easy)
+    whole = sets(full)
+    every = np.concatenate([*whole, np.zeros(0, np.uint64)])
+    grams, times = np.unique(every, return_counts=True)
+    gram_item = np.repeat(np.arange(len(whole)), [len(s) for s in whole])[np.argsort(every, kind="stable")]
     return Index(
-        list(ids), sets(full), sets([q for q, _ in qa]), sets([a for _, a in qa]), doc[starts][order] if n else np.zeros(0, np.int64), terms, rare, part_ptr, p_part, impact,
+        list(ids), whole, sets([q for q, _ in qa]), sets([a for _, a in qa]), doc[starts][order] if n else np.zeros(0, np.int64), terms, rare, part_ptr, p_part, impact,
         np.concatenate([[0], np.cumsum(np.bincount(b_term, minlength=len(terms)))]).astype(np.int64), b_key % max(n_blocks, 1), block_max, slack, block, part_words,
+        grams, np.concatenate([[0], np.cumsum(times)]).astype(np.int64), gram_item,
     )
 
 
@@ -169,12 +179,36 @@ def retrieve(texts: Sequence[str], index: Index, kinds: np.ndarray, least: float
     return pair // len(index.items), pair % len(index.items), best, w, doc
 
 
+def held_items(w: np.ndarray, doc: np.ndarray, n: int, index: Index, overlap: float, size: int) -> np.ndarray:
+    """Sorted text * items + item of all items of which a whole text holds ``overlap`` of the shingles."""
+    if not len(index.grams) or not len(w):
+        return np.zeros(0, np.int64)
+    h, of = shingles(w, doc, n, size)
+    at = np.minimum(np.searchsorted(index.grams, h), len(index.grams) - 1)
+    known = index.grams[at] == h
+    entry = np.unique(of[known] * len(index.grams) + at[known])  # a shingle counts once in a text
+    e, own = spread(index.gram_ptr, entry % len(index.grams))
+    pair, hits = np.unique(entry[own] // len(index.grams) * len(index.items) + index.gram_item[e], return_counts=True)
+    sizes = np.array([len(s) for s in index.shingle])
+    return pair[hits >= overlap * sizes[pair % len(index.items)] - 1e-9]
+
+
+def whole_score(mine: np.ndarray, item: int, index: Index) -> float:
+    """The best score of an item's parts by all words of a text."""
+    at = np.minimum(np.searchsorted(index.terms, mine), len(index.terms) - 1)
+    e, _ = spread(index.part_ptr, np.unique(at[index.terms[at] == mine]))
+    return float(np.bincount(index.part_of[e], index.impact[e], minlength=len(index.part_item))[index.part_item == item].max())
+
+
 def leaks_in(texts: Sequence[str | None], index: Index, kinds: np.ndarray, least: float, overlap: float, size: int = 5) -> list[tuple[int, int, float, float, float, float]]:
     """(text, item, score, share of the item, of its question, of its answer) for every leak."""
     out = []
     full = [t or "" for t in texts]
     for a, b in text_chunks([len(t) for t in full]):
         text, item, score, w, doc = retrieve(full[a:b], index, kinds, least)
+        apart = np.setdiff1d(held_items(w, doc, b - a, index, overlap, size), text * len(index.items) + item)
+        text, item = np.append(text, apart // max(len(index.items), 1)), np.append(item, apart % max(len(index.items), 1))
+        score = np.append(score, np.full(len(apart), np.nan))  # of the whole text, where the item is a leak
         for t in np.unique(text):
             mine = w[np.searchsorted(doc, t) : np.searchsorted(doc, t, "right")]
             held = np.unique(shingles(mine, np.zeros(len(mine), np.int64), 1, size)[0])
@@ -193,7 +227,7 @@ def leaks_in(texts: Sequence[str | None], index: Index, kinds: np.ndarray, least
                                 break
                     shares.append(float(found))
                 if len(index.shingle[k]) and shares[0] >= overlap and min(shares[1:]) >= 0.5:
-                    out.append((a + int(t), int(k), float(score[i]), *shares))
+                    out.append((a + int(t), int(k), whole_score(mine, k, index) if np.isnan(score[i]) else float(score[i]), *shares))
     return out
 
 

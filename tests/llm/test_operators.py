@@ -202,6 +202,19 @@ def test_decontamination_edges(spark, edge):
     assert decontaminate.without_leaks(edge, items).count() == len(EDGE)
 
 
+def test_decontamination_of_parts_far_apart(spark):
+    """Question and answer leak with other text between them, whatever one passage holds of both."""
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    asked, told, other = [some(20) for _ in range(5)], [some(20) for _ in range(5)], some(300)
+    items = spark.createDataFrame([(k, f"{q}? {a}.") for k, (q, a) in enumerate(zip(asked, told, strict=True))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{some(50)} {q}? {other}. {a}. {some(50)}") for k, (q, a) in enumerate(zip(asked, told, strict=True))] + [(9, f"{asked[0]}? {other}")], "doc_id long, text string")
+    got = decontaminate.leaks(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(5)]
+    assert all(abs(r["overlap"] - 32 / 36) < 1e-9 and r["question_overlap"] == r["answer_overlap"] == 1 and r["score"] > 0.99 for r in got)
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, items).collect()] == [9]
+
+
 def test_wand_bounds_lose_nothing():
     """Scores above the threshold are the same as those of a plain loop over all items."""
     rng = random.Random(2)
