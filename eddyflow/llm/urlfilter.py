@@ -30,6 +30,9 @@ CANONICAL = (
 )
 REFRESH = r"""(?i)<meta\s(?:[^<>]*\s)?http-equiv\s*=\s*["']?refresh["']?\s(?:[^<>]*\s)?content\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s<>]+)"""
 
+#: The same with content before http-equiv.
+REFRESH_TURNED = r"""(?i)<meta\s(?:[^<>]*\s)?content\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s<>]+)["']*\s(?:[^<>]*\s)?http-equiv\s*=\s*["']?refresh"""
+
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
@@ -56,7 +59,7 @@ def resolved(href: Column, url: Column) -> Column:
 def links(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
     """Edges (a, b) between addresses: a page's own and the one its canonical link or redirect names."""
     told = F.coalesce(F.col(page), F.lit("")).rlike("(?i)canonical|http-equiv")
-    rows = pages.filter(told & F.col(url).isNotNull()).select(F.col(url).alias("u"), F.explode(F.array(F.coalesce(*(F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in CANONICAL)), F.regexp_extract(page, REFRESH, 1))).alias("href"))
+    rows = pages.filter(told & F.col(url).isNotNull()).select(F.col(url).alias("u"), F.explode(F.array(*(F.coalesce(*(F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in either)) for either in (CANONICAL, (REFRESH, REFRESH_TURNED))))).alias("href"))
     return edges(rows.select("u", resolved(F.col("href"), F.col("u")).alias("v")), "u", "v")
 
 

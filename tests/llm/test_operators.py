@@ -416,6 +416,12 @@ def test_url_filters(spark, small):
     assert urlfilter.judge(x, []).filter("verdict = 'block'").count() == 0
 
 
+def test_url_filters_refresh_in_either_order(spark):
+    metas = ['<meta http-equiv="refresh" content="0;url=http://n.net/fr/1">', '<meta content="0;url=http://n.net/fr/1" http-equiv="refresh">', "<META name=x content='0; URL=http://n.net/fr/1' data-a=b http-equiv=refresh>", '<meta content="0;url=http://n.net/fr/1" name="refresh">']
+    x = spark.createDataFrame([(k, f"http://d{k}.org/", m) for k, m in enumerate(metas)], "page_id long, url string, html string")
+    assert rows_of(urlfilter.judge(x, queries.RULES), "page_id", "verdict") == [(0, "block"), (1, "block"), (2, "block"), (3, "allow")]
+
+
 # ---------------------------------------------------------------- 9 main text
 def article_by_hand(page):
     a = page.index("<article>") + 9
