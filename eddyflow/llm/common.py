@@ -39,15 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+#: Rows of narrow tables that one task writes, where their number is known.
+ROWS_A_TASK = 200_000
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
+def settle(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
-    The files outlive lost executors; they are removed when the driver exits.
+    The files outlive lost executors; they are removed when the driver exits. With
+    ``rows``, a bound on the rows of ``df``, small tables are written by few tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/eddyflow-{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
@@ -205,30 +210,25 @@ def shingles(w: np.ndarray, doc: np.ndarray, n_docs: int, size: int = 5) -> tupl
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, comp), comp the least node.
 
-    Alternating large and small stars: each round is two aggregations and two
+    Alternating large and small stars: each round is three aggregations and two
     joins over the edges, never a group gathered in one place. Rounds end when
-    the edges no longer change; each round is cut in the shared folder.
+    the edges are stars around the least nodes; what rounds make is settled in
+    the shared folder, where its size lets Spark choose the joins.
     """
-    e = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-    e = cut(e)
-    kind = edges.schema["a"].dataType
-    mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-    was = mark(e)
-    if was[0]:
-        for _ in range(max_rounds):
-            both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).unionAll(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
-            least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
-            # large star: every larger neighbour of x moves to x's least neighbour
-            large = e.select(F.col("u").alias("x"), F.col("v").alias("y")).join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u"))
-            large = cut(large.filter("v <> u").distinct())
-            # small star: every smaller neighbour of v, and v, move to the least of them
-            low = cut(large.groupBy("v").agg(F.min("u").alias("m")))
-            small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("s"))
-            e = cut(small.select("s.v", "s.u").filter("v <> u").distinct())
-            now = mark(e)
-            if now == was:
-                break
-            was = now
-        else:
-            raise RuntimeError(f"components are unsettled after {max_rounds} rounds")
-    return e.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionAll(e.select(F.col("u").alias("node"), F.col("u").alias("comp"))).distinct().select(F.col("node").cast(kind).alias("node"), F.col("comp").cast(kind).alias("comp"))
+    rows = max(edges.count(), 1)
+    e = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+    e = settle(e.distinct(), "edges", rows)
+    for _ in range(max_rounds):
+        both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).unionAll(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
+        least = settle(both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")), "least", 2 * rows)
+        if least.filter("m < x AND n > 1").isEmpty():
+            kind = edges.schema["a"].dataType
+            return least.select(F.col("x").cast(kind).alias("node"), F.least("x", "m").cast(kind).alias("comp"))
+        # large star: every larger neighbour of x moves to the least of x and its neighbours
+        to = least.select(F.col("x").alias("u"), F.least("x", "m").alias("m"))
+        large = settle(e.join(to, "u").select("v", F.col("m").alias("u")).filter("v <> u").distinct(), "large", 2 * rows)
+        # small star: every smaller neighbour of v, and v, move to the least of them
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("s"))
+        e = settle(small.select("s.v", "s.u").filter("v <> u").distinct(), "edges", 2 * rows)
+    raise RuntimeError(f"components are unsettled after {max_rounds} rounds")

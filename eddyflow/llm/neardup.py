@@ -84,10 +84,11 @@ def prob_minhash(h: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int, m: i
     return owner.reshape(n, m)
 
 
-def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: two hashes of its word sequence, its number of shingles, its bands."""
+def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: two hashes of its word sequence, its bands, its number of shingles; all texts' shingles in a row."""
     n = len(texts)
     exact, count, out = np.zeros((n, 2), np.uint64), np.zeros(n, np.int64), np.zeros((n, bands), np.uint64)
+    sets = [np.zeros(0, np.uint32)]
     full = [t or "" for t in texts]
     for a, b in text_chunks([len(t) for t in full]):
         w, doc = words(full[a:b], kinds)
@@ -102,49 +103,31 @@ def sketch(texts: Sequence[str | None], kinds: np.ndarray, bands: int, rows: int
             exact[a + some, j] = mix(np.add.reduceat(mix(w + (place.astype(np.uint64) + np.uint64(1)) * step), heads))
         h, of, _ = distinct_weighted(h, of)
         count[a:b] = np.bincount(of, minlength=b - a)
+        sets.append((h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         sig = prob_minhash(h, of, np.ones(len(h)), b - a, bands * rows)
         key = np.zeros((b - a, bands), np.uint64)
         for r in range(rows):
             key = mix(key * MIX2 + sig.reshape(b - a, bands, rows)[:, :, r])
         out[a:b] = mix(key + np.arange(bands, dtype=np.uint64) * MIX1)
-    return exact, count, out
+    return exact, out, count, np.concatenate(sets)
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """id, h1, h2 (the word sequence), n (shingles) and bands of every document with a word."""
+    """id, h1, h2 (the word sequence), bands and s (the distinct shingles) of every document with a word."""
     kinds = word_table()
-    schema = StructType().add("id", docs.schema["id"].dataType).add("h1", LongType()).add("h2", LongType()).add("n", LongType()).add("bands", ArrayType(LongType()))
-
-    def lists(x: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
+    schema = StructType().add("id", docs.schema["id"].dataType).add("h1", LongType()).add("h2", LongType()).add("bands", ArrayType(LongType())).add("s", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            exact, count, keys = sketch(batch.column(1).to_pylist(), kinds, bands, rows, size)
-            exact = exact.view(np.int64)
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array(count), lists(keys)], names=schema.names)
+            exact, keys, count, sets = sketch(batch.column(1).to_pylist(), kinds, bands, rows, size)
+            exact, ends = exact.view(np.int64), np.concatenate([[0], np.cumsum(count)])
+            lists = [(np.arange(0, keys.size + 1, bands), keys.view(np.int64).ravel()), (ends, sets.view(np.int32))]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), *(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for at, x in lists)], names=schema.names)
             yield out.filter(pa.array(count > 0))
 
     return docs.mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Rows (id, s) of the documents with the given ids: their distinct shingles."""
-    kinds = word_table()
-    schema = StructType([docs.schema["id"]]).add("s", ArrayType(IntegerType()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in text_chunks([len(t) for t in texts]):
-                h, of = shingles(*words(texts[a:b], kinds), b - a, size)
-                h, of, _ = distinct_weighted(h & np.uint64(0xFFFFFFFF), of)
-                ends = np.searchsorted(of, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))], names=["id", "s"])
-
-    return docs.join(ids.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, schema)
-
-
 def similar(a: Column, x: Column, threshold: float) -> Column:
     """Whether two sets are as similar as the threshold by Jaccard."""
     both = F.size(F.array_intersect(a, x))
@@ -156,33 +139,37 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bands:
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     # joins with what grows with the documents are sorted merges at every size, which spill and split
     sig = settle(signatures(docs, bands, rows, size), "signatures")
-    groups = settle(sig.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("times")).filter("times > 1"), "copies")
-    copies = settle(sig.select("id", "h1", "h2").join(groups.hint("merge"), ["h1", "h2"]).filter("id <> a").select("a", F.col("id").alias("x"), "h1", "h2"), "links")
-    # a copy leaves by its text too: rows of one id may have several
-    single = sig.join(copies.select(F.col("x").alias("id"), "h1", "h2").hint("merge"), ["id", "h1", "h2"], "left_anti").select("id", "n", "bands")
-    keys = single.select(F.col("id").alias("x"), "n", F.explode("bands").alias("band"))
+    # from here on a text stands for all its copies, under the least id
+    texts = settle(sig.groupBy("h1", "h2").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("times"), F.first("bands").alias("bands")), "texts")
+    copies = settle(sig.select("id", "h1", "h2").join(texts.filter("times > 1").select("h1", "h2", "x").hint("merge"), ["h1", "h2"]).filter("id <> x").select(F.col("x").alias("a"), F.col("id").alias("x")), "links")
+    keys = texts.select("x", F.explode("bands").alias("band"))
     buckets = settle(keys.groupBy("band").agg(F.min("x").alias("a"), F.max("x").alias("z")).filter("a <> z").select("band", "a"), "buckets")
-    members = settle(keys.join(buckets.hint("merge"), "band"), "members")
+    members = settle(keys.join(buckets, "band"), "members")
     pairs = settle(members.filter("a <> x").select("a", "x").distinct(), "pairs")
-    sets = settle(shingle_sets(docs, pairs.select(F.explode(F.array("a", "x")).alias("id")).distinct(), size), "sets")
-    tried = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    links = settle(copies.select("a", "x").unionAll(tried.filter(similar(F.col("sa"), F.col("sx"), threshold)).select("a", "x")), "links")
+    tried = texts.select("h1", "h2", F.col("x").alias("id")).join(members.select(F.col("x").alias("id")), "id", "left_semi")
+    sets = settle(sig.join(tried.hint("merge"), ["h1", "h2", "id"], "left_semi").select("id", "s"), "sets")
+    links = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    links = settle(copies.unionAll(links.filter(similar(F.col("sa"), F.col("sx"), threshold)).select("a", "x")), "links")
     comp = components(links.select("a", F.col("x").alias("b")))
-    more = settle(crossing(members, sets, comp, threshold), "links")
+    more = settle(crossing(members, sets, comp, threshold), "crossing")
     if not more.isEmpty():
-        comp = components(links.unionAll(more).select("a", F.col("x").alias("b")))
+        # the graph of components is small beside that of documents
+        merged = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        alone = merged.select(F.col("comp").alias("node"), "to").join(comp, "node", "left_anti")
+        comp = comp.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).unionAll(alone)
     return comp.select(F.col("node").alias(key), F.col("comp").alias("class_id"))
 
 
 def crossing(members: DataFrame, sets: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, x) between members of one bucket that are in different components.
+    """Links (a, b) between components that have members in one bucket which are similar.
 
     Members are dealt into blocks by hash, those of the least member's component
     apart from the rest, and the blocks of the rest meet all blocks of the bucket: a
     row holds two blocks, never a bucket.
     """
-    own = members.select("band", "x").join(comp.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    own = settle(members.join(comp.select(F.col("node").alias("x"), "comp"), "x", "left").select("band", "x", F.coalesce("comp", "x").alias("comp")), "own")
     open_ = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("many"), F.min_by("comp", "x").alias("first")).filter("lo <> hi").select("band", "first", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+    open_ = settle(open_, "open")
     rows = own.join(open_, "band").join(sets.withColumnRenamed("id", "x"), "x").withColumn("own", F.col("comp") == F.col("first")).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")))
     packs = settle(rows.groupBy("band", "own", "block").agg(F.collect_list(F.struct("x", "comp", "s")).alias("docs")), "packs")
     both = packs.alias("l").join(packs.alias("r"), (F.col("l.band") == F.col("r.band")) & ~F.col("l.own") & (F.col("r.own") | (F.col("l.block") <= F.col("r.block")))).select(F.col("l.docs").alias("l"), F.col("r.docs").alias("r"))
@@ -193,9 +180,9 @@ def crossing(members: DataFrame, sets: DataFrame, comp: DataFrame, threshold: fl
             for i in range(batch.num_rows):
                 l, r = (batch.column(k).slice(i, 1).flatten() for k in (0, 1))
                 a, x = links_between(*(np.asarray(v) for y in (l, r) for v in (y.field("comp"), y.field("s").flatten(), y.field("s").value_lengths())), threshold)
-                yield pa.RecordBatch.from_arrays([l.field("x").take(pa.array(a)), r.field("x").take(pa.array(x))], names=["a", "x"])
+                yield pa.RecordBatch.from_arrays([l.field("comp").take(pa.array(a)), r.field("comp").take(pa.array(x))], names=["a", "b"])
 
-    return both.mapInArrow(run, StructType().add("a", kind).add("x", kind)).distinct()
+    return both.mapInArrow(run, StructType().add("a", kind).add("b", kind)).distinct()
 
 
 def links_between(comp_l: np.ndarray, set_l: np.ndarray, size_l: np.ndarray, comp_r: np.ndarray, set_r: np.ndarray, size_r: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
