@@ -1,19 +1,24 @@
 """Operator 9, main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of text. A line's weight is
-its text length, lessened by the share that stands in links and set to nothing
-inside page furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, comments), which elements and class names tell. Where the page marks
-its article, every line of it with weight is the text. Elsewhere weights are
-summed over windows of following lines; furniture between two lines of one
-container does not part them and is left out before. Where the sum rises from
-under the threshold is a surge, where it has fallen back to nothing a dive; the
-stretches between surge and dive hold the text, and those that together hold
-the page's main mass are kept, line by line.
-
-Defined results: null and empty pages give an empty text; unclosed elements end
-with their parent; markup cut off at the end is dropped; very long pages are
-read whole in linear time; repeated rows give equal results.
+its text length, nothing where most of it stands in links or inside page
+furniture (menus, headers, footers, sidebars, notices, adverts, forms,
+comments), which elements, roles, class names and ids tell; inline furniture is
+cut out of its line. Lines of the article or main element with most text weigh
+``mark`` times as much, and furniture inside it parts nothing; elsewhere
+furniture between two lines of one container parts nothing. Weights are summed
+over windows of following lines: where the sum rises from under the threshold
+is a surge, where it has fallen back to nothing, or a mark begins or ends, a
+dive. Stretches between surge and dive that hold the page's main mass are the
+text, so that a marked teaser does not win over a long text without a mark. Of
+stretches without a mark, short cells before the first heading or sentence and
+copyright lines at the end are trimmed, and a main heading that only furniture
+parts from its text is kept. Nothing else inside a stretch is left out.
+
+Defined results: null and empty pages give an empty text, an empty table no row;
+unclosed elements end with their parent; markup cut off at the end is dropped;
+very long and deeply nested pages are read whole in linear time; repeated rows
+give equal results; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -44,9 +49,14 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|widget|widgets|footer|foot|masthead|topbar|toolbar"
     r"|header|notice|notices|cookie|cookies|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comment|comments|commentlist|disqus|replies|reply|respond|reader-comments|share|sharing|social|related|recommended|recommendations|pagination|pager|skip|form|search|toc)(?:$|[\s_-])"
 )
+#: A line that only tells who owns the page, and the marks that end a sentence.
+OWNER = re.compile(r"(?:©|\(c\)\s|copyright\b)", re.I)
+SENTENCE = re.compile(r"[.!?:;…。！？]")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names that only look so: layouts that mention furniture, and headings of the article itself.
 APART = re.compile(r"\b(?:no|has|with|without)[-_](?:\w+[-_])?(?:sidebar|menu|nav|header|footer|ads?|comments?)\b|\b(?:entry|post|article|content|story)[-_]?(?:header|heading)\b")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+ROLE_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
@@ -61,15 +71,15 @@ class Line:
     furniture: bool
     main: int  # number of the article or main element it is in, or 0
     container: int  # number of the innermost container it is in, or 0
+    tag: str  # the innermost block it is in
 
 
 def furniture(name: str, attrs: str) -> bool:
     """Whether an element is page furniture by its name, role, class or id."""
     if name in FURNITURE:
         return True
-    if not attrs or name in ("html", "body", "article", "main", "span", "a", "b", "i", "em", "strong"):
-        if name != "article" or not attrs:
-            return False
+    if not attrs or name in ("html", "body", "main"):
+        return False
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id") and NAMES.search(APART.sub(" ", value)) and not (name == "article" and not re.search("comment|related|promo|teaser|sponsor|repl", value)):
@@ -82,24 +92,26 @@ def furniture(name: str, attrs: str) -> bool:
 def lines(page: str) -> list[Line]:
     """Strip the markup: the blocks of text in page order."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int, int]] = []  # name, furniture, main element, container
-    hidden = 0
+    stack: list[tuple[str, bool, int, int, str, bool]] = []  # name, furniture, main element, container, block, hidden
+    opened: dict[str, int] = {}
     buffer: list[str] = []
-    linked, links, mains, containers = 0, 0, 0, 0
+    hidden, bads, linked, links, mains, containers = 0, 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             if text := SPACE.sub(" ", html.unescape("".join(buffer))).strip():
-                out.append(Line(text, linked, any(x[1] for x in stack), *(stack[-1][2:] if stack else (0, 0))))
+                out.append(Line(text, linked, bads > 0, *(stack[-1][2:5] if stack else (0, 0, ""))))
             buffer.clear()
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal hidden, links
-        for name, *_ in stack[k:]:
-            hidden -= name in HIDDEN
+        nonlocal hidden, links, bads
+        for name, bad, *_, hides in stack[k:]:
+            hidden -= hides
+            bads -= bad
             links -= name == "a"
+            opened[name] -= 1
         del stack[k:]
 
     at, n = 0, len(page)
@@ -118,7 +130,7 @@ def lines(page: str) -> list[Line]:
             continue
         closing, attrs = m[1] or m[5], m[3] if m[2] else m[7]
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened.get(name) else ():
                 if stack[k][0] == name:
                     if name in BLOCKS or any(x[0] in BLOCKS for x in stack[k:]):
                         flush()
@@ -134,14 +146,14 @@ def lines(page: str) -> list[Line]:
             continue
         if name in BLOCKS:
             flush()
-            if name in ENDS_P:
+            if name in ENDS_P and opened.get("p"):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
                         close(k)
                         break
                     if stack[k][0] in BLOCKS:
                         break
-            for k in range(len(stack) - 1, -1, -1) if name in CLOSED_BY else ():
+            for k in range(len(stack) - 1, -1, -1) if any(opened.get(x) for x in CLOSED_BY.get(name, ())) else ():
                 if stack[k][0] in CLOSED_BY[name]:
                     close(k)
                     if name != "tr":
@@ -155,46 +167,53 @@ def lines(page: str) -> list[Line]:
             stop = stop.start() if stop else n
             at = stop
         bad = furniture(name, attrs) or name in HIDDEN
-        if name == "header" and stack and any(x[2] for x in stack) and not any(x[1] for x in stack):
+        up = stack[-1] if stack else ("", False, 0, 0, "", False)
+        if name == "header" and up[2] and not bads:
             bad = False  # an article's own heading
-        mains += (main := name in ("article", "main") and not bad)
+        mains += (main := (name in ("article", "main") or ROLE_MAIN.search(attrs) is not None) and not bad)
         containers += (holds := name in BLOCKS and name not in FLOW)
-        stack.append((name, bad, (stack[-1][2] if stack and stack[-1][2] else mains * main), containers if holds else stack[-1][3] if stack else 0))
-        hidden += name in HIDDEN
+        # inline furniture is cut out of its line; a block of it is a line of its own, without weight
+        hides = name in HIDDEN or bad and name not in BLOCKS
+        stack.append((name, bad, up[2] or mains * main, containers if holds else up[3], name if name in BLOCKS else up[4], hides))
+        opened[name] = opened.get(name, 0) + 1
+        hidden += hides
+        bads += bad
         links += name == "a"
-        if len(stack) > 2000:
-            close(2000)
     flush()
     return out
 
 
-def weights(rows: list[Line]) -> tuple[np.ndarray, bool]:
-    """Length of each line's own text; nothing for furniture, or for lines outside the page's main element.
-
-    Also whether the page has such an element.
-    """
+def weights(rows: list[Line], mark: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's weight, and whether it is in the page's marked article: the one with most text."""
     size = np.array([len(r.text) for r in rows], float)
-    w = np.where([r.furniture for r in rows], 0.0, np.where([r.linked > 0.66 * len(r.text) for r in rows], 0.0, size))
+    off = np.array([r.furniture for r in rows])
+    w = np.where(off | np.array([r.linked > 0.66 * len(r.text) for r in rows]), 0.0, size)
     mains = np.array([r.main for r in rows])
-    if told := bool((w * (mains > 0)).sum() > 0):
-        # the page says where its article is: lines of the element with most text weigh, links or not
-        best = np.bincount(mains, w * (mains > 0)).argmax()
-        w = np.where((mains == best) & ~np.array([r.furniture for r in rows]), np.maximum(size, 1), 0.0)
+    told = np.zeros(len(rows), bool)
+    if (own := w * (mains > 0)).any():
+        told = mains == np.bincount(mains, own).argmax()
+        w = np.where(told & ~off, mark * size, w)
     return w, told
 
 
-def joined(rows: list[Line]) -> np.ndarray:
-    """Positions of all lines but the furniture between two lines of one container."""
+def joined(rows: list[Line], told: np.ndarray, window: int) -> np.ndarray:
+    """Positions of all lines but the furniture between two lines of one container or mark.
+
+    Where the mark begins or ends stand ``window`` positions -1: lines of nothing.
+    """
     out: list[int] = []
     between: list[int] = []
-    last = None
+    last, inside = None, False
     for i, row in enumerate(rows):
         if row.furniture:
             between.append(i)
             continue
-        if row.container != last:
+        here = "mark" if told[i] else row.container
+        if here != last:
             out += between
-        between, last = [], row.container
+        if told[i] != inside:
+            out += [-1] * window
+        between, last, inside = [], here, told[i]
         out.append(i)
     return np.array(out + between, np.int64)
 
@@ -219,21 +238,38 @@ def stretches(w: np.ndarray, window: int, least: float) -> list[tuple[int, int]]
     return out
 
 
-def main_text(page: str | None, window: int = 3, surge: float = 80.0, share: float = 0.25) -> str:
-    """The lines of weight in the page's marked article; without one, those between surges and dives, of all stretches with ``share`` of the largest's mass."""
+def trimmed(rows: list[Line], keep: list[int]) -> list[int]:
+    """A stretch without a mark: short cells at its start and copyright lines at its end go, its main heading comes."""
+    cell = lambda r: r.tag not in HEADINGS and r.tag not in ("p", "blockquote", "pre") and len(r.text) < 25 and not SENTENCE.search(r.text)
+    a, b = 0, len(keep)
+    while a < b and cell(rows[keep[a]]):
+        a += 1
+    a = a if a < b else 0
+    while b > a + 1 and OWNER.match(rows[keep[b - 1]].text):
+        b -= 1
+    keep = keep[a:b]
+    i = keep[0] - 1
+    while i >= 0 and rows[i].furniture:
+        i -= 1
+    return [i, *keep] if i >= 0 and rows[i].tag == "h1" and not any(rows[k].tag == "h1" for k in keep) else keep
+
+
+def main_text(page: str | None, window: int = 3, surge: float = 80.0, share: float = 0.25, mark: float = 32.0) -> str:
+    """The lines between surges and dives, of all stretches with ``share`` of the largest's mass."""
     rows = lines(page or "")
     if not rows:
         return ""
-    w, told = weights(rows)
-    if told:
-        keep = np.flatnonzero(w > 0).tolist()
-    else:
-        at = joined(rows)
-        w = w[at]
-        found = stretches(w, window, surge)
-        mass = [w[a:b].sum() for a, b in found]
-        keep = [at[i] for (a, b), s in zip(found, mass, strict=True) if s >= share * max(mass) for i in range(a, b) if w[i] > 0]
-    return "\n".join(rows[i].text for i in keep)
+    w, told = weights(rows, mark)
+    at = joined(rows, told, window)
+    heavy = np.where(at >= 0, w[at], 0.0)
+    found = stretches(heavy, window, surge)
+    mass = [heavy[a:b].sum() for a, b in found]
+    keep: set[int] = set()
+    for (a, b), s in zip(found, mass, strict=True):
+        if s >= share * max(mass):
+            own = [int(i) for i in at[a:b] if i >= 0 and not rows[i].furniture]
+            keep |= {*(own if told[own[0]] else trimmed(rows, own))}
+    return "\n".join(rows[i].text for i in sorted(keep))
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html", **options) -> DataFrame:

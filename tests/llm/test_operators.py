@@ -471,6 +471,30 @@ def test_main_text_keeps_short_stretches():
     assert htmltext.main_text(f'<div><p>Some short slogan of the site.</p></div>{share}<div><h1>Headline of the article</h1><p>{body}</p>{advert}<p>And its end.</p></div>') == want
 
 
+def test_main_text_by_line_blocks_alone(spark, small):
+    """Without their marks the test pages give the same articles: surges and dives find them."""
+    for r in table(spark, small, "pages").collect():
+        page = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        assert htmltext.main_text(page) == article_by_hand(r["html"])
+
+
+def test_main_text_furniture():
+    body = "A long paragraph of the article, with enough words in it. " * 6
+    # a marked teaser does not win over a long text without a mark
+    assert htmltext.main_text(f'<article><p>See it now.</p></article><ul class="nav"><li>One</ul><div><h1>Title</h1><p>{body * 40}</p></div>') == f"Title\n{(body * 40).strip()}"
+    # inline furniture, adverts in mid-article, short tails
+    page = f'<article><p>{body}<span class="ad">BUY NOW CHEAP</span> and <a class="share" href="x">Tweet</a>more.</p><ul class="ad"><li>a<li>b<li>c<li>d</ul><p>Short end</p></article>'
+    assert htmltext.main_text(page) == f"{body}and more.\nShort end"
+    # a page without classes: cells before the heading and the owner's line at the end
+    page = f"<table><tr><td>Home<td>About</tr></table><h1>Title</h1><p>{body}</p><p>All rights reserved.</p><p>&copy; 2024 by us</p>"
+    assert htmltext.main_text(page) == f"Title\n{body.strip()}\nAll rights reserved."
+    # any depth, in linear time
+    assert htmltext.main_text("<div>" * 50_000 + f"<nav>The menu of a deep page, long enough to be taken for text.</nav><p>{body}</p>") == body.strip()
+    assert htmltext.main_text("<div>x" * 50_000 + "</p>" * 50_000).count("x") == 50_000
+    long = "<article>" + f"<p>{body}</p>" * 20_000 + "</article>"
+    assert htmltext.main_text(long) == "\n".join([body.strip()] * 20_000)
+
+
 # ---------------------------------------------------------------- 10 top k
 def test_top_k(spark, small):
     e = table(spark, small, "embeddings")
