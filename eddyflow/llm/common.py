@@ -5,12 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import eddyflow
@@ -79,6 +79,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, led by as many _ as keep them apart from those taken."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+        used.add(name.lower())
+    return out
+
+
 def fold(key: str, n: int):
     """crc32 of the key as text, modulo n; null where the key is null."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
@@ -88,14 +104,15 @@ def bounded_sample(df: DataFrame, key: str, text: str, max_rows: int, max_chars:
     """A repeatable sample by hash of the key, bounded in rows and characters.
 
     One counting pass over all of ``df`` sets the kept share of the hash range,
-    so the expected sample size is within both bounds at every input size.
+    so the expected sample size is within both bounds at every input size; rows over
+    ``max_rows`` go from the end of the hash's order.
     """
     n, chars = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
     share = min(1.0, max_rows / max(n, 1), max_chars / max(chars, 1))
     if share >= 1.0:
         return df
     u = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30))
-    return df.filter(u < int(share * 0.97 * (1 << 30))).limit(max_rows)
+    return df.filter(u < int(share * 0.97 * (1 << 30))).orderBy(u, key, text).limit(max_rows)
 
 
 # ---------------------------------------------------------------- batches

@@ -9,14 +9,16 @@ takes whole epochs of its documents and a prefix of the next one: an epoch is
 the order of its documents by a hash of seed, epoch and doc_id, and the prefix
 holds the documents whose running tokens stay within the budget.
 
-Running sums never order a whole leaf in one task: documents are dealt by hash
-range into buckets of about ``bucket`` documents, buckets are summed before,
-and only the bucket at which the budget ends is ordered document by document.
+Running sums never order a whole leaf in one task: the range of the hash is cut
+into ``PARTS`` parts, whose sums tell the part at which the budget ends; that
+part is cut in its turn until at most ``bucket`` documents of a leaf are in it,
+and only those are ordered document by document.
 
 Defined results: null and empty texts have no tokens and are taken with the
 documents before them; null languages or sources are leaves of their own;
 sources without a weight get ``default``; rows that share a doc_id stand or fall
-together; no row at all gives no row.
+together; no row at all gives no row. Columns of any name pass through, but
+``domain``, ``tokens`` and ``epoch``, which the results replace.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddyflow.llm.common import settle
+from eddyflow.llm.common import quoted, settle
 
 LEVELS = ("domain", "lang", "source")
+BITS, PARTS = 60, 1024
 
 
 def tokens_of(text: Column) -> Column:
@@ -84,31 +87,42 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, floa
 
     The budget is ``share`` of all tokens. Adds domain, tokens and epoch to ``columns`` (all by default).
     """
-    columns = [c for c in (columns or docs.columns) if c not in ("domain", "tokens", "epoch")]
-    leaf = [domain.alias("_domain"), F.coalesce(F.col("lang"), F.lit("")).alias("_lang"), F.coalesce(F.col("source"), F.lit("")).alias("_source")]
-    rows = docs.select(*columns, *leaf, tokens_of(F.col(text)).alias("_tokens"))
-    slim = settle(rows.select(F.col(key).alias("id"), F.coalesce("_domain", F.lit("")).alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("tokens")), "slim")
+    names = [c for c in (columns or docs.columns) if c.lower() not in ("domain", "tokens", "epoch")]
+    leaf = [F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source")]
+    # the columns of docs travel as one struct: none can clash with those that are made here
+    rows = docs.select(F.struct(*map(quoted, names)).alias("row"), quoted(key).alias("id"), *leaf, tokens_of(quoted(text)).alias("tokens"))
+    slim = settle(rows.drop("row"), "slim")
     leaves = settle(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     plan = budgets(leaves, int(total * share), weights, max_epochs=max_epochs)
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("int"))
-    plan = settle(plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")).withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket))).drop("tokens", "n"), "plan")
-
-    def dealt(x: DataFrame, id_: Column) -> DataFrame:
-        u = place(id_, F.col("epochs"), seed)
-        return x.withColumn("u", u).withColumn("bucket", F.shiftright(F.shiftright("u", 20) * F.col("buckets"), 40))
-
-    sums = dealt(slim.join(plan.filter("rest > 0"), list(LEVELS)), F.col("id")).groupBy(*LEVELS, "bucket", "rest").agg(F.sum("tokens").alias("t"))
-    run = sums.withColumn("past", F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("t")).filter("past + t > rest")
-    ends = run.groupBy(*LEVELS).agg(F.min("bucket").alias("end"), F.min("past").alias("past"))
-    plan = settle(plan.join(ends, list(LEVELS), "left").select(*(F.col(c).alias(f"_{c}") for c in LEVELS), "epochs", "rest", "buckets", F.col("end"), F.coalesce("past", F.lit(0)).alias("past")), "plan")
-    rows = rows.withColumn("_domain", F.coalesce("_domain", F.lit("")))
-    x = dealt(rows.join(plan, ["_domain", "_lang", "_source"]), F.col(key))
-    kept = [F.col(c) for c in columns] + [F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens")]
+    plan = settle(plan.select(*LEVELS, "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("rest"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("past")), "plan")
+
+    shift, step = BITS, PARTS.bit_length() - 1
+    while shift > 0:
+        shift -= step
+        plan, most = narrowed(slim, plan, shift, step, seed)
+        if most <= bucket:
+            break
+
+    x = rows.withColumnRenamed("tokens", "size").join(plan, list(LEVELS)).withColumn("u", place(F.col("id"), F.col("epochs"), seed)).withColumn("own", F.shiftright("u", shift))
+    kept = [*(F.col("row").getField(c).alias(c) for c in names), F.col("domain"), F.col("size").alias("tokens")]
     whole = F.when(F.col("epochs") > 0, F.sequence(F.lit(0), F.col("epochs") - 1)).otherwise(F.array().cast("array<int>"))
-    before = (F.col("rest") > 0) & (F.col("end").isNull() | (F.col("bucket") < F.col("end")))
-    sure = x.select(*kept, F.explode(F.when(before, F.concat(whole, F.array("epochs"))).otherwise(whole)).alias("epoch"))
-    last = x.filter((F.col("rest") > 0) & (F.col("bucket") == F.col("end")))
-    order = Window.partitionBy("_domain", "_lang", "_source").orderBy("u", key)
-    edge = last.withColumn("_run", F.col("past") + F.sum("_tokens").over(order)).filter("_run <= rest")
+    before = (F.col("rest") > 0) & (F.col("own") < F.col("part"))
+    sure = x.withColumn("at", F.explode(F.when(before, F.concat(whole, F.array("epochs"))).otherwise(whole))).select(*kept, F.col("at").alias("epoch"))
+    order = Window.partitionBy(*LEVELS).orderBy("u", "id")
+    edge = x.filter((F.col("rest") > 0) & (F.col("own") == F.col("part"))).withColumn("run", F.col("past") + F.sum("size").over(order)).filter("run <= rest")
     return sure.unionAll(edge.select(*kept, F.col("epochs").alias("epoch")))
+
+
+def narrowed(slim: DataFrame, plan: DataFrame, shift: int, step: int, seed: int) -> tuple[DataFrame, int]:
+    """The plan with each leaf's part cut further, to the one at which its budget ends, and the most rows in such a part.
+
+    At most 2 ** step sums of a leaf are put in order.
+    """
+    x = slim.join(plan.filter("rest > 0"), list(LEVELS)).withColumn("u", place(F.col("id"), F.col("epochs"), seed)).filter(F.shiftright("u", shift + step) == F.col("part"))
+    sums = x.groupBy(*LEVELS, "rest", "past", F.shiftright("u", shift).alias("cut")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    run = sums.withColumn("before", F.col("past") + F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("cut")) - F.col("t")).filter("before + t > rest")
+    ends = settle(run.groupBy(*LEVELS).agg(F.min(F.struct("cut", "before", "n")).alias("end")).select(*LEVELS, "end.cut", "end.before", "end.n"), "ends")
+    plan = settle(plan.join(ends, list(LEVELS), "left").select(*LEVELS, "epochs", "rest", F.coalesce("cut", F.lit(1 << (BITS - shift))).alias("part"), F.coalesce("before", "past").alias("past")), "plan")
+    return plan, ends.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from eddyflow.llm.common import MIX1, MIX2, components, mix, settle, shingles, slices, text_chunks, word_table, words
+from eddyflow.llm.common import MIX1, MIX2, components, mix, quoted, settle, shingles, slices, text_chunks, word_table, words
 
 BANDS, ROWS, SIZE, THRESHOLD = 32, 6, 5, 0.8
 BLOCK = 256
@@ -219,4 +219,4 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataF
 def without_near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each class; all columns are kept, rows without a key too."""
     lost = classes(docs, key=key, **options).filter(F.col("class_id") != F.col(key)).select(key)
-    return docs.join(lost.hint("merge"), key, "left_anti").select(docs.columns)
+    return docs.join(lost.hint("merge"), key, "left_anti").select(*map(quoted, docs.columns))

@@ -396,6 +396,20 @@ def test_mixing_edges(spark, edge):
     assert mixing.mix(edge.limit(0), queries.domain(), queries.WEIGHTS).count() == 0
 
 
+#: Every name that an operator or stage of the pipeline makes for itself.
+CLASHES = "row id size own part past rest epochs u at run cut before n t end bucket buckets budget cap w weight a b x z s h1 h2 n_shingles band bands sa sx node comp class_id stays times _domain _lang _source _tokens _run _score _rejected lang_pred score rejected held_out item_id overlap spans base k l to lo hi first many docs".split()
+
+
+def test_mixing_keeps_columns_of_any_name(spark, small):
+    docs = table(spark, small, "documents")
+    wide = docs.select("*", *(F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in [*CLASHES, "a.b", "c`d"]))
+    got = mixing.mix(wide, queries.domain(), queries.WEIGHTS).toPandas()
+    plain = mixing.mix(docs, queries.domain(), queries.WEIGHTS).toPandas()
+    assert sorted(zip(got.doc_id, got.epoch, strict=True)) == sorted(zip(plain.doc_id, plain.epoch, strict=True))
+    for c in [*CLASHES, "a.b", "c`d"]:
+        assert (got[c] == c + " " + got.doc_id.astype(str)).all()
+
+
 # ---------------------------------------------------------------- 8 url filters
 PAGES = [
     (1, "https://a.org/x", '<link rel="canonical" href="http://b.net/es/1">', "block"), (2, "http://c.org/y?q#z", '<meta http-equiv=refresh content="0; url=/x/r">', "block"), (3, "http://c.org/x/r", "<LINK href='//a.org/x' rel=canonical>", "block"),
