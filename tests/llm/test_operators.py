@@ -151,13 +151,40 @@ def test_personal_data(spark, docs, edge):
     assert pii.personal_data(edge).count() == len(EDGE) and pii.personal_data(edge.limit(0)).count() == 0
 
 
+#: Sentences that training has none of.
+UNSEEN = {
+    "iban": ("wire it to {} please, thanks", "die Miete geht an {}", "merci de régler sur {}", "abona el importe en {}"),
+    "ssn": ("the employee gave {} as the social security number on file", "SSN on record: {}", "his social security card says {}"),
+    "national_id": ("el cliente con documento DNI {}", "Inhaber {}", "assuré {}", "holder of identity document {}"),
+    "card_short": ("please put it on my credit card, {}", "Bezahlt mit Karte {}", "ma carte est {}", "número de tarjeta {}"),
+    "phone_local": ("give us a ring: {}", "the office telephone is {}", "bitte anrufen: {}", "unter der Rufnummer {}", "notre numéro est le {}", "puedes llamar al {}", "his mobile, {}, is off"),
+    "email_masked": ("drop a line to {}", "die Adresse ist {}", "envoyez tout à {}", "manda un mensaje a {}", "{}"),
+    "ipv6": ("requests came in via {}", "Zugriff durch {}", "bloquer {}", "acceso desde {}"),
+    "mac": ("blocked {} at the switch", "Netzwerkkarte {}", "carte réseau {}", "tarjeta de red {}"),
+    "birth_date": ("patient, born {}", "Geburtstag: {}", "la naissance, le {}", "nacida el {}", "her birth date was {}"),
+}
+UNSEEN_OTHER = ("purchase order {} arrived", "tracking ref {}", "build {} is out", "Lieferung am {}", "la version {} est là", "número de pedido {}", "revision {}", "it happened on {}", "reference {} applies", "the sum of {} was paid", "Katalog {}", "dossier {}", "about {} units", "see section {}")
+
+
+def test_trees_on_unseen_sentences():
+    model = pii.train()
+    rows = pii.labelled(3000, 99, UNSEEN, UNSEEN_OTHER)
+    truth, kinds = np.array([r[4] for r in rows]) == 1, np.array([r[1] for r in rows])
+    chosen = model.score(np.array([pii.features(*r[:4]) for r in rows])) >= np.array([model.limits[k] for k in kinds])
+    for kind in pii.ADDED:
+        own = kinds == kind
+        assert truth[own][chosen[own]].mean() >= 0.95 and chosen[own][truth[own]].mean() >= 0.9, kind
+    # from generators to spans: nearly every personal one is inside what is found
+    held = [any(s <= r[2] and e >= r[3] for part in pii.spans_of(r[0], model) for _, s, e in part) for r in rows[:1000] if r[4]]
+    assert np.mean(held) >= 0.95
+    for text in ("john [at] example [dot] com", "contact john (at) example.com", "MAC 00:1A:2B:3C:4D:5E", "tel 06 12 34 56 78", "server fe80::1 up"):
+        assert len(pii.spans_of(text, model)[1]) == 1
+    for text in ("at 12:30:45 on 2024-01-02 we met", "order 1234-567-8901", "uuid 123e4567-e89b-12d3-a456-426614174000", "look (at) config.yaml"):
+        assert pii.spans_of(text, model) == ([], [])
+
+
 def test_trees_and_redaction(spark):
     model = pii.train()
-    rows = pii.labelled(1500, 77)  # another seed than training's
-    score = model.score(np.array([pii.features(*r[:4]) for r in rows]))
-    chosen = np.array([s >= model.limits[r[1]] for s, r in zip(score, rows, strict=True)])
-    truth = np.array([r[4] for r in rows]) == 1
-    assert truth[chosen].mean() > 0.95 and chosen[truth].mean() > 0.5
     text = "my ssn is 219-09-9999, mail a@b.org, card 4111 1111 1111 1111"
     base, added = pii.spans_of(text, model)
     assert [k for k, _, _ in base] == ["email", "card"] and [k for k, _, _ in added] == ["ssn"]
