@@ -9,20 +9,23 @@ kth value is known exactly. The last pass keeps scores above it and as many of
 the least vec_ids that tie with it as the query still lacks. A chunk sends of a
 histogram only its highest bins that hold k scores: lower ones cannot matter.
 
-Blocks are sent to all executors while they take at most ``max_broadcast``
-bytes; more are joined to the chunks by shuffling. Nothing of a query's
-candidates is gathered but its k best and k bins from each chunk.
+Blocks are sent to all executors, as many at a time as take ``max_broadcast``
+bytes; more queries are searched batch after batch, so that the chunks are read
+again but never shuffled. Nothing of a query's candidates is gathered but its k
+best and k bins from each chunk.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows without vec_id, take no part; a query repeated with several vectors is
 answered by the least of them; rows with the query's vec_id are its own; repeated
 candidate rows count each; components that a shorter vector lacks count as 0;
-scores stop at 2**61 either way.
+scores stop at 2**61 either way; an empty table, or one without a query, gives no
+row; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +94,19 @@ def query_blocks(asked: DataFrame, per: int) -> DataFrame:
     return groups.mapInArrow(run, "block long, queries binary, top double")
 
 
-def met(blocks: DataFrame, chunks: DataFrame, max_broadcast: int) -> DataFrame:
-    """Every block beside every chunk: (chunk, block, queries, state)."""
-    n, size = blocks.agg(F.coalesce(F.max("block"), F.lit(-1)) + 1, F.coalesce(F.sum(F.length("queries")), F.lit(0))).first()
+def met(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every block of a batch beside every chunk: (chunk, block, queries, state)."""
+    least, past = blocks.agg(F.coalesce(F.min("block"), F.lit(0)), F.coalesce(F.max("block"), F.lit(-1)) + 1).first()
     side = blocks.select("block", "queries", "state")
-    wide = chunks.select(F.col("blob").alias("chunk"), F.explode(F.expr(f"CASE WHEN {n} > 0 THEN sequence(0L, {max(n, 1)}L - 1) END")).alias("block"))
-    return wide.join(F.broadcast(side) if 2 * size <= max_broadcast else side, "block").select("chunk", "block", "queries", "state")
+    wide = chunks.select(F.col("blob").alias("chunk"), F.explode(F.expr(f"CASE WHEN {past} > {least} THEN sequence({least}L, {max(past, 1)}L - 1) END")).alias("block"))
+    return wide.join(F.broadcast(side), "block").select("chunk", "block", "queries", "state")
+
+
+def batches_of(blocks: DataFrame, max_broadcast: int) -> list[tuple[int, int]]:
+    """Ranges [from, to) of block numbers that take ``max_broadcast`` bytes at most (one block at least)."""
+    n, size = blocks.agg(F.coalesce(F.max("block"), F.lit(-1)) + 1, F.coalesce(F.max(F.length("queries")), F.lit(1))).first()
+    per = max(1, max_broadcast // (2 * size))
+    return [(k, min(k + per, n)) for k in range(0, n, per)] or [(0, 0)]
 
 
 def known(ids: np.ndarray, blob: bytes | None, low: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +133,15 @@ def top_k(vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str = "e
     whole = whole.filter(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))))
     chunks = settle(packs(whole.select("id", "v"), chunk), "chunks")
     blocks = settle(query_blocks(whole.filter("q").groupBy("id").agg(F.min("v").alias("v")), block), "blocks")
+    parts = batches_of(blocks, max_broadcast)
+    if len(parts) == 1:
+        return search(blocks, chunks, key, k)
+    found = [settle(search(blocks.filter(F.col("block").between(lo, hi - 1)), chunks, key, k), "found") for lo, hi in parts]
+    return reduce(DataFrame.unionAll, found)
+
+
+def search(blocks: DataFrame, chunks: DataFrame, key: str, k: int) -> DataFrame:
+    """The k best candidates of the queries of one batch of blocks."""
     (top,), (most,) = (x.agg(F.coalesce(F.max("top"), F.lit(0.0))).first() for x in (chunks, blocks))
     reach = min(int(most * top * (1 + 1e-9)) + 1, MOST)
     low = -reach
@@ -149,7 +168,7 @@ def top_k(vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str = "e
                     ids, bins, times = (np.concatenate(x) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b, np.int64)), pa.array(ids), pa.array(bins), pa.array(times)], names=["block", "id", "bin", "times"])
 
-        hist = met(state, chunks, max_broadcast).mapInArrow(histogram, "block long, id long, bin long, times long").groupBy("block", "id", "bin").agg(F.sum("times").alias("times"))
+        hist = met(state, chunks).mapInArrow(histogram, "block long, id long, bin long, times long").groupBy("block", "id", "bin").agg(F.sum("times").alias("times"))
         hist = hist.withColumn("whole", F.lit(k).cast("long")) if width == (2 * reach).bit_length() else hist.join(needs.select("block", "id", F.col("lack").alias("whole")), ["block", "id"])  # noqa: F821
         w = Window.partitionBy("block", "id").orderBy(F.desc("bin"))
         held = hist.withColumn("above", F.sum("times").over(w) - F.col("times")).filter("above < whole").groupBy("block", "id").agg(F.min("bin").alias("bin"), F.max("above").alias("above"), F.max("whole").alias("whole"), F.sum("times").alias("seen"))
@@ -176,6 +195,6 @@ def top_k(vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str = "e
                         rows.append([np.full(len(at), ids[i]), cid[at], s[at]])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["query_id", "id", "score"])
 
-    best = met(state, chunks, max_broadcast).select("chunk", "queries", "state").mapInArrow(select, "query_id long, id long, score long")
+    best = met(state, chunks).select("chunk", "queries", "state").mapInArrow(select, "query_id long, id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
