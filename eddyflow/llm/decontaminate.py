@@ -15,20 +15,22 @@ its five-word shingles, and at least half of its question's (all sentences but
 the last) and of its answer's (the last sentence).
 
 The index is built of at most ``max_index_words`` words of items at a time and
-sent to the executors; a larger benchmark is taken in several such shards, each
-against all documents.
+sent to the executors; a larger benchmark is taken shard after shard, each
+against all documents and settled before the next is built, so that the driver
+holds one shard.
 
 Defined results: null and wordless texts leak nothing; items without words are
 never found; repeated items each count; an item of fewer than five words is one
-shingle; rows that share a doc_id are judged alone and give their union.
+shingle; rows that share a doc_id are judged alone and give their union; empty
+tables leak nothing; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructType
 
-from eddyflow.llm.common import MIX2, mix, shingles, slices, text_chunks, word_table, words
+from eddyflow.llm.common import MIX2, mix, settle, shingles, slices, text_chunks, word_table, words
 
 K1, B = 1.2, 0.75
 
@@ -239,16 +241,21 @@ def runs(w: np.ndarray, n: int) -> np.ndarray:
     return mix(h + np.uint64(n))
 
 
-def indexes(items: DataFrame, *, text: str = "text", item: str = "item_id", max_index_words: int = 2_000_000, **options) -> Iterator[Index]:
-    """The index of all items, or one of each shard where they exceed ``max_index_words``."""
+def shards(items: DataFrame, text: str, item: str, options: Mapping) -> list[Callable[[], Index]]:
+    """What builds the index of all items, or of one shard each where they exceed ``max_index_words``."""
+    options = dict(options)
+    most = options.pop("max_index_words", 2_000_000)
     kinds = word_table()
     items = items.select(F.col(item).alias("i"), F.col(text).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
-    shards = -(-2 * total // max_index_words) if total > max_index_words else 1
-    for k in range(shards):
-        own = items if shards == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
+    n = -(-2 * total // most) if total > most else 1
+
+    def index_of(k: int) -> Index:
+        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         rows = sorted(((r.i, r.t) for r in own.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        yield build([r[0] for r in rows], [r[1] for r in rows], kinds, **options)
+        return build([r[0] for r in rows], [r[1] for r in rows], kinds, **options)
+
+    return [partial(index_of, k) for k in range(n)]
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", least: float = 0.6, overlap: float = 0.8, **options) -> DataFrame:
@@ -268,7 +275,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
         return docs.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionAll, [against(x) for x in indexes(items, text=text, item=item, **options)])
+    found = shards(items, text, item, options)
+    if len(found) == 1:
+        return against(found[0]())
+    return reduce(DataFrame.unionAll, [settle(against(shard()), "leaks") for shard in found])
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item: str = "item_id", least: float = 0.6, overlap: float = 0.8, **options) -> DataFrame:
@@ -286,4 +296,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item
 
         return docs.mapInArrow(run, docs.schema)
 
-    return reduce(clean, indexes(items, text=text, item=item, **options), docs)
+    found = shards(items, text, item, options)
+    if len(found) == 1:
+        return clean(docs, found[0]())
+    return reduce(lambda rest, shard: settle(clean(rest, shard()), "clean"), found, docs)
