@@ -1,25 +1,33 @@
 """Operator 2, toxicity: weak supervision by many voters, and a linear classifier.
 
 Lexicon voters look for abusive words by category, and for words and word heads
-that the labelled rows themselves show to be abusive; pattern voters look at density, shouting,
-address and masked profanity. Each votes toxic, clean or abstains. A generative
-label model with one latent label estimates by expectation-maximisation how
-often each voter votes what under either label, and from the correlation of
-voters beyond the label how much each voter's evidence counts. Its posterior
-labels train a linear classifier (logistic regression on word counts by hash and
-on the voters' measures) that scores every text. Known labels set the prior,
-the learned lexicon and the calibration of the score, nothing else.
+that labelled rows show to be abusive (mined lexicons, each length a voter of its
+own); pattern voters look at density, spread over categories, shouting, marks,
+address, masked and stretched words. Each votes toxic, clean or abstains. A
+generative label model with one latent label estimates by expectation-maximisation
+how often each voter votes what under either label, and how voters hang together:
+the votes form a tree of dependence (the spanning tree of most mutual information
+beyond the label), and a voter's table is given its label and its parent's vote, so
+that one who repeats another adds no evidence. The posterior labels train a linear
+classifier (logistic regression on word counts by hash and on the voters'
+measures) that scores every text. Known labels set the prior and the mined
+lexicons, nothing else; no row's own label has a say in its votes.
 
 Only a bounded sample of labelled rows (``max_rows``, ``max_chars``) is read
-for fitting; every text is scored as a whole. Defined results: null and empty
-texts are scored like a text without words; repeated rows score alike; without
-any label of both kinds the model uses the fixed lexicons with an even prior.
+for fitting, the same at every run; every text is scored as a whole. Defined
+results: null and empty texts are scored like a text without words; repeated rows
+score alike; without any label of both kinds the model uses the fixed lexicons
+with an even prior; an empty table gives no row; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +39,34 @@ from eddyflow.llm.common import bounded_sample, fold, slices, text_chunks, word_
 
 # Fixed lexicons, by category.
 LEXICONS = {
-    "insult": "idiot idiots moron morons imbecile clown loser losers fool stupid dumb dunce jerk coward pig swine dummkopf trottel vollidiot imbécile crétin idiota imbécil estúpido idiote",
-    "contempt": "worthless pathetic disgusting trash scum garbage vermin filth filthy despicable subhuman parasite wertlos erbärmlich abschaum minable ordure basura escoria patético despreciable",
-    "hate": "hateful nazi inferior exterminate deport lynch savages degenerate degenerates untermensch",
-    "threat": "murder murdered strangle strangled slaughter umbringen töten égorger asesinar",
-    "profanity": "fuck fucking shit shitty bitch bastard asshole crap damn bullshit arschloch scheiße scheisse merde connard salope mierda puta cabrón",
+    "insult": "idiot idiots moron morons imbecile clown loser losers fool fools stupid dumb dunce jerk jerks coward pig swine dimwit halfwit nitwit brainless clueless dummkopf trottel vollidiot depp blödmann imbécile crétin débile abruti idiota imbécil estúpido idiote tonto bobo",
+    "contempt": "worthless pathetic disgusting trash scum garbage vermin filth filthy despicable subhuman parasite parasites useless revolting repulsive wertlos erbärmlich abschaum widerlich minable ordure pitoyable dégoûtant basura escoria patético despreciable asqueroso",
+    "hate": "hateful hate nazi inferior exterminate deport lynch savages degenerate degenerates untermensch",
+    "threat": "murder murdered strangle strangled slaughter kill umbringen töten abschlachten égorger massacrer asesinar matar",
+    "profanity": "fuck fucking fucked shit shitty bitch bastard asshole crap damn bullshit arschloch scheiße scheisse fotze merde connard salope putain mierda puta cabrón gilipollas",
 }
+# Fixed words that speak to somebody.
+ADDRESS = "you your yours du dich dir dein deine euch tu te ton ta tes vous votre ti tú usted vosotros"
+#: Letters hidden by marks, and letters stretched.
+MASKED = re.compile(r"(?<![\w*@#$])[A-Za-z]{1,3}[*@#$]{1,4}[A-Za-z]{0,4}(?![\w*@#$])")
+STRETCHED = re.compile(r"([A-Za-z])\1{3}")
 BITS, HEADS = 15, (4, 5)
+FIXED, MINED = len(LEXICONS), 1 + len(HEADS)
+
+
+@cache
+def capitals() -> np.ndarray:
+    """For every code point of the basic plane: 2 for upper case letters, 1 for other letters, else 0."""
+    kinds = map(unicodedata.category, map(chr, range(65536)))
+    return np.array([2 if k == "Lu" else 1 if k[0] == "L" else 0 for k in kinds], np.uint8)
+
+
+def shouting(texts: Sequence[str]) -> np.ndarray:
+    """Share of upper case among the letters of each text."""
+    cp = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = capitals()[np.minimum(cp, 65535)]
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[:-1]])]).astype(np.int64)
+    return np.add.reduceat(kind == 2, starts, dtype=np.int64) / np.maximum(np.add.reduceat(kind > 0, starts, dtype=np.int64), 1)
 
 
 def hashes(text: str, kinds: np.ndarray) -> np.ndarray:
@@ -46,7 +75,7 @@ def hashes(text: str, kinds: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    lexicons: list[np.ndarray]  # sorted hashes: words of the fixed ones, words and word heads of the learned one
+    lexicons: list[np.ndarray]  # sorted hashes: words of the fixed ones, of address, mined words and mined heads by length
     weights: np.ndarray
     dense: np.ndarray
     bias: float
@@ -57,54 +86,109 @@ class ToxicityModel:
 
 
 def measures(texts: Sequence[str | None], lexicons: Sequence[np.ndarray], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: hits by lexicon, word count, share of shouted letters and of marks; hashed words and word heads, and their text."""
+    """Of each text: hits by lexicon, hits by any mined one, shares of shouted letters and of marks, masked and stretched words, word count.
+
+    Also the word counts alone, and hashed words and word heads with their text.
+    """
     full = [t or "" for t in texts]
     w, doc, *heads = words(full, kinds, HEADS)
     n = np.bincount(doc, minlength=len(full)).astype(float)
-    within = [np.isin(w, x) for x in lexicons[:-1]] + [np.isin(np.stack([w, *heads]), lexicons[-1]).any(axis=0)]
+    within = [np.isin(w, x) for x in lexicons[: FIXED + 2]] + [np.isin(h, x) for h, x in zip(heads, lexicons[FIXED + 2 :], strict=True)]
+    within.append(np.any(within[FIXED + 1 :], axis=0))
     hits = np.stack([np.bincount(doc[x], minlength=len(full)) for x in within], axis=1).astype(float)
-    upper = np.array([sum(map(t.count, "EATION")) / max(sum(map(t.lower().count, "eation")), 1) for t in full])
-    marks = np.array([t.count("!") / max(len(t), 1) for t in full])
-    return np.column_stack([hits, upper, marks, n]), n, np.concatenate([w, heads[0]]), np.concatenate([doc, doc])
+    signs = np.array([(t.count("!") / max(len(t), 1), sum(1 for _ in MASKED.finditer(t)) if "*" in t or "@" in t or "#" in t or "$" in t else 0, STRETCHED.search(t) is not None) for t in full], float).reshape(-1, 3)
+    return np.column_stack([hits, shouting(full), signs, n]), n, np.concatenate([w, heads[0]]), np.concatenate([doc, doc])
+
 
+def columns(m: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The measures by name: hits of fixed lexicons, address, mined ones, any mined one; upper, marks, masked, stretched, n."""
+    k = FIXED + 1 + MINED
+    return m[:, :FIXED], m[:, FIXED], m[:, FIXED + 1 : k], m[:, k], *(m[:, k + 1 + j] for j in range(5))
 
-def votes(m: np.ndarray, n_lex: int) -> np.ndarray:
+
+def said_often(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a text has mined terms twice, or one among few words: one in a long text is likely chance."""
+    return (hits >= 2) | (hits >= 0.01 * np.maximum(n, 1)[:, None]) & (hits > 0)
+
+
+def votes(m: np.ndarray) -> np.ndarray:
     """1 toxic, 0 clean, -1 abstains; one column for each voter."""
-    hits, upper, marks, n = m[:, :n_lex], m[:, n_lex], m[:, n_lex + 1], m[:, n_lex + 2]
-    any_, density = hits.max(axis=1), hits.max(axis=1) / np.maximum(n, 1)
-    cols = [np.where(hits[:, j] > 0, 1, -1) for j in range(n_lex)]
+    fixed, address, mined, any_mined, upper, marks, masked, stretched, n = columns(m)
+    words_ = np.maximum(n, 1)
+    told, learned = fixed.sum(axis=1), any_mined
+    either = np.maximum(told, learned)
+    often = said_often(mined, n)
+    yes = lambda c: np.where(c, 1, -1)
+    cols = [yes(fixed[:, j] > 0) for j in range(FIXED)] + [yes(often[:, j]) for j in range(MINED)]
     cols += [
-        np.where(density >= 0.005, 1, 0), np.where(any_ >= 2, 1, np.where(any_ == 0, 0, -1)), np.where(hits.sum(axis=1) == 0, 0, -1),
-        np.where((hits[:, :-1] > 0).sum(axis=1) >= 2, 1, -1), np.where((upper > 0.7) & (marks > 0.01) & (any_ > 0), 1, -1), np.where((marks > 0.02) & (any_ > 0), 1, -1),
+        np.where(told / words_ >= 0.005, 1, np.where(told == 0, -1, 0)), np.where(learned / words_ >= 0.005, 1, np.where(learned == 0, -1, 0)), np.where(either / words_ >= 0.02, 1, np.where(either == 0, 0, -1)),
+        np.where(told >= 2, 1, -1), np.where(learned >= 2, 1, np.where(learned == 0, 0, -1)), np.where(either == 0, 0, -1), np.where((told == 0) & (n >= 200), 0, -1), np.where(often.sum(axis=1) >= 2, 1, np.where(learned == 0, 0, -1)), np.where((learned == 1) & (told == 0) & (n >= 60), 0, -1),
+        yes((fixed > 0).sum(axis=1) >= 2), yes((fixed > 0).sum(axis=1) >= 3), yes((either > 0) & (address > 0)), np.where((address == 0) & (either == 0), 0, -1),
+        yes((upper > 0.7) & (marks > 0.01) & (either > 0)), yes((marks > 0.02) & (either > 0)), yes((masked > 0) & (either > 0)), yes((stretched > 0) & (either > 0)), np.where((marks == 0) & (upper < 0.2) & (either == 0), 0, -1),
     ]
     return np.stack(cols, axis=1)
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dependence(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Mutual information of each pair of voters beyond the label, as a share of their entropies beyond it."""
+    k = v.shape[1]
+    one = np.concatenate([v == c for c in (-1, 0, 1)], axis=1).astype(float)  # columns by vote, then voter
+    info, entropy = np.zeros((k, k)), np.zeros(k)
+    for q in (1 - p, p):
+        joint = ((one * q[:, None]).T @ one / max(len(v), 1)).reshape(3, k, 3, k) + 1e-12
+        single = (q @ one / max(len(v), 1)).reshape(3, k) + 1e-12
+        mass = q.sum() / max(len(v), 1) + 1e-12
+        info += (joint * np.log(joint * mass / (single[:, :, None, None] * single[None, None]))).sum(axis=(0, 2))
+        entropy -= (single * np.log(single / mass)).sum(axis=0)
+    out = np.clip(info / np.sqrt(np.maximum(np.outer(entropy, entropy), 1e-9)), 0, 1)
+    out[entropy < 1e-6] = out[:, entropy < 1e-6] = 0
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def tree(weight: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """(voter, parent or -1) in an order that has parents first: the heaviest spanning forest of edges over ``least``."""
+    k, out, done = len(weight), [], set()
+    while len(done) < k:
+        best = max(((weight[i, j], -j, -i) for i in done for j in range(k) if j not in done), default=(0, 0, 0))
+        j, parent = (-best[1], -best[2]) if best[0] >= least else (min(set(range(k)) - done), -1)
+        out.append((j, parent))
+        done.add(j)
+    return out
+
+
+def label_model(v: np.ndarray, prior: float, rounds: int = 40, least: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the latent label for each row of votes; accuracy and share of each voter.
 
-    The start is the balance of votes. Each round estimates the voters' tables
-    and then how their evidence correlates among rows of the same likely label; a
-    voter that repeats others counts for its share of what they say together.
+    The start is the balance of votes. Each round estimates which voters hang together
+    beyond the label, then each one's table of votes given the label and its
+    parent's vote, then the labels. A voter's share is what it says that its
+    neighbours in the tree do not.
     """
     n, k = v.shape
-    balance = (v == 1).sum(axis=1) - (v == 0).sum(axis=1)
+    # voters that say the same start with one voice
+    voices = 1 / (1 + (dependence(v, np.full(n, prior)) >= 0.999).sum(axis=1))
+    balance = (v == 1) @ voices - (v == 0) @ voices
     p = np.where(balance > 0, 0.9, np.where(balance < 0, 0.05, prior))
-    share = np.ones(k)
-    tables = np.zeros((2, k, 3))
+    share, code = np.ones(k), v + 1
     for _ in range(rounds):
-        for y, q in ((0, 1 - p), (1, p)):
-            for c in range(3):
-                tables[y, :, c] = (q @ (v == c - 1) + 0.5) / (q.sum() + 1.5)
-        ratio = np.log(tables[1] / tables[0])
-        evidence = np.take_along_axis(ratio[None, :, :].repeat(n, axis=0), (v + 1)[:, :, None], axis=2)[:, :, 0]
-        likely = p > 0.5
-        r = evidence - np.where(likely[:, None], evidence[likely].mean(axis=0) if likely.any() else 0.0, evidence[~likely].mean(axis=0) if not likely.all() else 0.0)
-        cov = r.T @ r / max(n, 1) + 1e-9 * np.eye(k)
-        corr = np.abs(cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov))))
-        corr[corr < 0.1] = 0
-        share = 1 / corr.sum(axis=1)
-        z = evidence @ share + np.log(prior / (1 - prior))
+        weight = dependence(v, p)
+        order = tree(weight, least)
+        near = np.zeros(k)
+        z = np.full(n, np.log(prior / (1 - prior)))
+        for j, parent in order:
+            given = code[:, parent] if parent >= 0 else np.zeros(n, np.int64)
+            if parent >= 0:
+                near[[j, parent]] += weight[j, parent]
+            cell = given * 3 + code[:, j]
+            logs = []
+            for q in (1 - p, p):
+                own = np.bincount(code[:, j], q, 3) + 0.5
+                # where a parent's vote is rare the table leans on the voter's own
+                table = (np.bincount(cell, q, 9).reshape(3, 3) + own / own.sum()) if parent >= 0 else np.tile(own, (3, 1))
+                logs.append(np.log(table / table.sum(axis=1, keepdims=True)).ravel()[cell])
+            z += logs[1] - logs[0]
+        share = 1 / (1 + near)
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(new - p).max() < 1e-5:
             p = new
@@ -115,58 +199,80 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
     return p, accuracy, share
 
 
-def learned_lexicon(texts: Sequence[str], y: np.ndarray, kinds: np.ndarray, ratio: float = 40.0) -> np.ndarray:
-    """Words and word heads in several toxic texts whose odds there exceed ``ratio`` times those in clean texts."""
-    if not 0 < y.sum() < len(y):
-        return np.zeros(0, np.uint64)
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a, b in text_chunks([len(t) for t in texts]):
-        w, doc, *heads = words(texts[a:b], kinds, HEADS)
-        terms, term = np.unique(np.concatenate([w, *heads]), return_inverse=True)
-        seen = np.unique(term * (b - a) + np.tile(doc, 1 + len(heads)))
-        toxic = y[a + seen % (b - a)] == 1
-        parts.append((terms, np.bincount(seen[toxic] // (b - a), minlength=len(terms)), np.bincount(seen[~toxic] // (b - a), minlength=len(terms))))
-        if len(parts) > 8:
-            parts = [merged(parts)]
-    terms, pos, neg = merged(parts)
-    least = np.clip(0.01 * y.sum(), 4, 8)
-    odds = ((pos + 0.5) / (y.sum() + 1)) / ((neg + 0.5) / ((1 - y).sum() + 1))
-    return terms[(pos >= least) & (odds >= ratio)]
-
-
-def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]  # terms, texts of label 1 and of label 0 that have them
+
+
+def merged(parts: Sequence[Counts]) -> Counts:
     """Counts by term, summed."""
     terms, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return terms, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(terms)).astype(np.int64) for k in (1, 2))
 
 
-def inputs(m: np.ndarray, n_lex: int) -> np.ndarray:
+def counted(texts: Sequence[str], y: np.ndarray, kinds: np.ndarray) -> list[Counts]:
+    """Counts of words, and of word heads of each length."""
+    parts: list[list[Counts]] = [[(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] for _ in range(MINED)]
+    for a, b in text_chunks([len(t) for t in texts]):
+        w, doc, *heads = words(texts[a:b], kinds, HEADS)
+        for j, x in enumerate([w, *heads]):
+            terms, term = np.unique(x, return_inverse=True)
+            seen = np.unique(term * (b - a) + doc)
+            toxic = y[a + seen % (b - a)] == 1
+            parts[j].append((terms, np.bincount(seen[toxic] // (b - a), minlength=len(terms)), np.bincount(seen[~toxic] // (b - a), minlength=len(terms))))
+            if len(parts[j]) > 8:
+                parts[j] = [merged(parts[j])]
+    return [merged(x) for x in parts]
+
+
+def mined_lexicons(parts: Sequence[list[Counts]], y: np.ndarray, ratio: float = 40.0) -> list[np.ndarray]:
+    """Words, and word heads of each length, in several toxic texts whose odds there exceed ``ratio`` times those in clean texts."""
+    if not 0 < y.sum() < len(y):
+        return [np.zeros(0, np.uint64)] * MINED
+    out = []
+    for j in range(MINED):
+        terms, pos, neg = merged([x[j] for x in parts])
+        odds = ((pos + 0.5) / (y.sum() + 1)) / ((neg + 0.5) / ((1 - y).sum() + 1))
+        out.append(terms[(pos >= np.clip(0.01 * y.sum(), 4, 8)) & (odds >= ratio)])
+    return out
+
+
+def inputs(m: np.ndarray) -> np.ndarray:
     """The dense inputs of the classifier."""
-    hits, n = m[:, :n_lex], np.maximum(m[:, n_lex + 2], 1)
-    return np.column_stack([np.log1p(hits), 20 * hits / n[:, None], hits > 0, (hits.max(axis=1) > 1) * 1.0, m[:, n_lex], np.minimum(10 * m[:, n_lex + 1], 1)]).astype(float)
+    fixed, address, mined, any_mined, upper, marks, masked, stretched, n = columns(m)
+    hits, n = np.column_stack([fixed, any_mined]), np.maximum(n, 1)
+    some = np.column_stack([np.log1p(hits), 20 * hits / n[:, None], hits > 0, said_often(mined, n), hits.max(axis=1) > 1, upper, np.minimum(10 * marks, 1), (address > 0) & (hits.max(axis=1) > 0)])
+    return some.astype(float)
 
 
-def train(texts: Sequence[str], labels: Sequence[int], *, epochs: int = 30, rate: float = 0.5, seed: int = 3) -> ToxicityModel:
+def train(texts: Sequence[str], labels: Sequence[int], *, epochs: int = 30, rate: float = 0.5, seed: int = 3, folds: int = 5) -> ToxicityModel:
+    """Fit on labelled texts. What mined lexicons say of a text is learned from the other folds, so that its own label has no say in its votes."""
     kinds, y = word_table(), np.array(labels, np.int64)
-    fixed = [hashes(x, kinds) for x in LEXICONS.values()]
-    lexicons = [*fixed, learned_lexicon(texts, y, kinds)]
-    prior = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-    n_lex = len(lexicons)
+    fixed = [hashes(x, kinds) for x in (*LEXICONS.values(), ADDRESS)]
     if not len(texts):
-        return ToxicityModel(lexicons, np.zeros(1 << BITS), np.concatenate([np.ones(n_lex), np.zeros(2 * n_lex + 3)]), -1.0, 4.0, 0.0, np.zeros(0), np.zeros(0))
+        return ToxicityModel([*fixed, *mined_lexicons([], y)], np.zeros(1 << BITS), np.concatenate([np.ones(FIXED + 1), np.zeros(2 * FIXED + 2 + MINED + 4)]), -1.0, 4.0, 0.0, np.zeros(0), np.zeros(0))
+    prior = float(np.clip(y.mean(), 0.01, 0.99))
+    # rows by fold, one fold after another
+    order = np.argsort(np.arange(len(texts)) % folds, kind="stable")
+    texts, y = [texts[i] for i in order], y[order]
+    ends = np.cumsum(np.bincount(np.arange(len(texts)) % folds, minlength=folds))
+    spans = [slice(e - n, e) for e, n in zip(ends, np.diff(ends, prepend=0), strict=True)]
+    parts = [counted(texts[x], y[x], kinds) for x in spans]
+    lexicons = [*fixed, *mined_lexicons(parts, y)]
     # features of a chunk of texts at a time: the slots of a text's words, each once, with its weight
     m, slots, values, first = [], [], [], [0]
-    for a, b in text_chunks([len(t) for t in texts]):
-        own, n, w, doc = measures(texts[a:b], lexicons, kinds)
-        m.append(own)
-        key, times = np.unique(doc << BITS | (w >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
-        slots.append((key & ((1 << BITS) - 1)).astype(np.int32))
-        values.append((times / np.sqrt(np.maximum(n, 1))[key >> BITS]).astype(np.float32))
-        first += (first[-1] + np.searchsorted(key >> BITS, np.arange(1, b - a + 1))).tolist()
+    for f, span in enumerate(spans):
+        others = [*fixed, *mined_lexicons(parts[:f] + parts[f + 1 :], np.delete(y, np.arange(span.start, span.stop)))]
+        own_texts = texts[span]
+        for a, b in text_chunks([len(t) for t in own_texts]):
+            own, n, w, doc = measures(own_texts[a:b], others, kinds)
+            m.append(own)
+            key, times = np.unique(doc << BITS | (w >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+            slots.append((key & ((1 << BITS) - 1)).astype(np.int32))
+            values.append((times / np.sqrt(np.maximum(n, 1))[key >> BITS]).astype(np.float32))
+            first += (first[-1] + np.searchsorted(key >> BITS, np.arange(1, b - a + 1))).tolist()
     m, slot, value, first = np.concatenate(m), np.concatenate(slots), np.concatenate(values), np.array(first)
-    v = votes(m, n_lex)
+    v = votes(m)
     p, accuracy, share = label_model(v, prior)
-    dense = inputs(m, n_lex)
+    dense = inputs(m)
     rng, weights, dw, bias = np.random.default_rng(seed), np.zeros(1 << BITS), np.zeros(dense.shape[1]), float(np.log(prior / (1 - prior)))
     for epoch in range(epochs):
         step = rate / (1 + 0.2 * epoch)
@@ -181,15 +287,7 @@ def train(texts: Sequence[str], labels: Sequence[int], *, epochs: int = 30, rate
             weights *= 1 - step * 2e-3
             dw -= step * (dense[rows].T @ g)
             bias -= step * g.sum()
-    model = ToxicityModel(lexicons, weights, dw, bias, 1.0, 0.0, accuracy, share)
-    z = logits(texts, model, kinds)
-    if 0 < y.sum() < len(y):  # logistic calibration on the known labels
-        a, b = 1.0, 0.0
-        for _ in range(300):
-            q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            a, b = max(a - 0.1 * ((q - y) * z).mean() - 1e-3 * (a - 1), 0.1), b - 0.3 * (q - y).mean()
-        model.scale, model.shift = float(a), float(b)
-    return model
+    return ToxicityModel(lexicons, weights, dw, bias, 1.0, 0.0, accuracy, share)
 
 
 def logits(texts: Sequence[str | None], model: ToxicityModel, kinds: np.ndarray) -> np.ndarray:
@@ -198,7 +296,7 @@ def logits(texts: Sequence[str | None], model: ToxicityModel, kinds: np.ndarray)
     for a, b in text_chunks([len(t) for t in full]):
         m, n, w, doc = measures(full[a:b], model.lexicons, kinds)
         slot = (w >> np.uint64(64 - BITS)).astype(np.int64)
-        out[a:b] = np.bincount(doc, model.weights[slot], b - a) / np.sqrt(np.maximum(n, 1)) + inputs(m, len(model.lexicons)) @ model.dense + model.bias
+        out[a:b] = np.bincount(doc, model.weights[slot], b - a) / np.sqrt(np.maximum(n, 1)) + inputs(m) @ model.dense + model.bias
     return out
 
 
@@ -211,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     share = min(1.0, max_rows / max(known.count(), 1))
     if share < 1.0:
         known = known.filter(F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 30)) < int(share * 0.97 * (1 << 30)))
-    known = known.limit(max_rows)
+    known = known.orderBy(F.xxhash64("k", F.lit(17)), "k").limit(max_rows)
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     sample = bounded_sample(rows.join(F.broadcast(known), "k"), "k", "t", max_rows, max_chars, salt=18)
     got = sorted(((r.k, r.t, int(r.y > 0)) for r in sample.toLocalIterator()))
