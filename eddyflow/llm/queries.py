@@ -104,18 +104,26 @@ SELECT doc_id, l AS lang, s AS source, domain, tokens, CAST(epoch AS INT) AS epo
 
 
 def verdicts_sql() -> str:
-    """Rules, and the verdicts of redirect components by recursion over their edges."""
-    host = lambda u: f"translate(regexp_extract({u}, '^(?s:.*?)://([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}')"
+    """Rules, and the verdicts of redirect components by recursion over their edges.
+
+    Links are found here by whole tags and their attributes, one after another.
+    """
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda u: lower(f"regexp_extract({u}, '^(?s:.*?)://([^/?#]*)', 1)")
     path = lambda u: f"regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
     rest = lambda u: f"regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^#]*)', 1)"
     address = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || CASE WHEN {rest(u)} = '' THEN '/' ELSE {rest(u)} END END"
     ordered = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "allow"))
     case = lambda i, h, p: "CASE " + " ".join(f"WHEN ({h} = '{r[1]}' OR ends_with({h}, '.{r[1]}')) AND starts_with({p}, '{r[2]}') THEN '{r[1] + r[2] if i else r[0]}'" for r in ordered) + " END"
-    quoted = [x.replace("'", "''") for x in (*urlfilter.CANONICAL, urlfilter.REFRESH)]
-    own = lambda p: f"nullif(regexp_extract(html, '{p}', 1), '')"
     site, folder = "regexp_extract(url, '^(?s:.*?)://[^/?#]*', 0)", f"coalesce(nullif(regexp_extract({path('url')}, '(?s)^.*/', 0), ''), '/')"
-    return f"""WITH RECURSIVE href AS (SELECT url, replace(h, '&amp;', '&') AS h FROM (SELECT url, coalesce({own(quoted[0])}, {own(quoted[1])}) AS h FROM pages UNION ALL SELECT url, {own(quoted[2])} FROM pages) WHERE h IS NOT NULL AND url IS NOT NULL),
-target AS (SELECT url, CASE WHEN contains(h, '://') THEN h WHEN starts_with(h, '//') THEN 'http:' || h WHEN starts_with(h, '/') THEN {site} || h ELSE {site} || {folder} || h END AS t FROM href),
+    dots = "list_reduce(string_split(p, '/'), lambda d, x: CASE WHEN x = '..' THEN regexp_replace(d, '/[^/]*$', '') WHEN x = '.' THEN d ELSE d || '/' || x END)"
+    return rf"""WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\s[^<>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+named AS (SELECT DISTINCT url, h FROM (SELECT url, regexp_extract(tag, '(?i)\shref\s*=\s*["'']?([^"''\s<>]+)', 1) AS h FROM tags WHERE regexp_matches(tag, '(?i)^<link\s') AND regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical')
+UNION ALL SELECT url, regexp_extract(tag, '(?i)\scontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"''\s<>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?i)^<meta\s') AND regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*["'']?refresh')) WHERE h <> ''),
+href AS (SELECT url, replace(h, '&amp;', '&') AS h FROM named),
+joint AS (SELECT url, h, CASE WHEN starts_with(h, '/') THEN h WHEN starts_with(h, '?') OR starts_with(h, '#') THEN {path('url')} || h ELSE {folder} || h END AS w FROM href),
+parts AS (SELECT url, h, regexp_extract(w, '^[^?#]*', 0) AS p, regexp_extract(w, '(?s)^[^?#]*(.*)$', 1) AS tail FROM joint),
+target AS (SELECT url, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN h WHEN starts_with(h, '//') THEN 'http:' || h ELSE {site} || CASE WHEN contains(p, '/.') THEN {dots} || CASE WHEN regexp_matches(p, '/\.\.?$') THEN '/' ELSE '' END ELSE p END || tail END AS t FROM parts),
 edge AS (SELECT a, b FROM (SELECT {address('url')} AS a, {address('t')} AS b FROM target) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
 both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
 reach AS (SELECT a AS n, a AS m FROM both_ways UNION SELECT r.n, e.b FROM reach r JOIN both_ways e ON r.m = e.a),

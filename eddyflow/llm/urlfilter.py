@@ -10,7 +10,9 @@ verdict goes to all its addresses. Addresses without either are allowed.
 Addresses are compared without scheme, fragment and case of the host. Defined
 results: a null url, or one without ``://``, has an empty host and path, no rule
 and no alias; null pages have no links; repeated rows get equal results; of
-rules of equal length the one with the longer host decides, then allow.
+rules of equal length the one with the longer host decides, then allow; very
+long pages are read whole; an empty table gives no row; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -48,12 +50,23 @@ def address_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its segments . and .. worked out."""
+    parts = F.split(path, "/")
+    up = lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    done = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), up)
+    return F.when(path.contains("/."), F.concat(done, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))).otherwise(path)
+
+
 def resolved(href: Column, url: Column) -> Column:
-    """An absolute url for a link on a page."""
+    """An absolute url for a link on a page; a link of a query or fragment alone is on the page's own path."""
     href = F.replace(href, F.lit("&amp;"), F.lit("&"))
     site = F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*", 0)
-    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), "(?s)^.*/", 0), F.lit("")), F.lit("/"))
-    return F.when(href == "", None).when(href.contains("://"), href).when(href.startswith("//"), F.concat(F.lit("http:"), href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(site, folder, href))
+    own = path_of(url)
+    folder = F.coalesce(F.nullif(F.regexp_extract(own, "(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    whole = F.when(href.startswith("/"), href).when(href.rlike("^[?#]"), F.concat(own, href)).otherwise(F.concat(folder, href))
+    path, rest = F.regexp_extract(whole, "^[^?#]*", 0), F.regexp_extract(whole, "(?s)^[^?#]*(.*)$", 1)
+    return F.when(href == "", None).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(F.lit("http:"), href)).otherwise(F.concat(site, without_dots(path), rest))
 
 
 def links(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
