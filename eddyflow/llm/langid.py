@@ -5,12 +5,18 @@ either side of a word counts as a code point of it. Each subword is hashed to a
 row of an embedding table; a text is the mean of its rows, and a linear softmax
 over that mean gives the languages. Both layers are trained together by
 stochastic gradient descent in numpy on windows of words from a bounded sample
-of labelled documents. A temperature and a rejection score are then calibrated
-on sample documents that training did not see.
+of labelled documents. On sample documents that training did not see, a
+temperature is calibrated on windows of few words, and a rejection limit on how
+familiar a text's subwords are (the mean of how strongly each speaks for some
+language): the limit is what all but ``reject_error`` of known texts reach, whole
+ones, short windows and mixtures of two languages; how many foreign texts (known
+ones under a cipher of their letters) stay under it is measured with it.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
-0 and rejected; very long texts are read whole; repeated rows get equal
-results; with no labelled row at all every text is ``und``.
+0 and rejected; very long texts are read whole, in pieces that end at white space
+(or after ``PIECE`` code points without any); repeated rows get equal results; with
+no labelled row at all every text is ``und``; an empty table gives no row; columns
+of any name pass through, but those of the results' names, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from pyspark.sql.types import StructType
 from eddyflow.llm.common import MIX1, MIX2, bounded_sample, code_points, fold, slices, text_chunks, word_table
 
 UND = "und"
+PIECE = 200_000
 
 
 @dataclass
@@ -35,8 +42,12 @@ class LanguageModel:
     table: np.ndarray  # buckets x languages: embedding table times softmax weights
     bias: np.ndarray
     temperature: float
-    reject_below: float
+    reject_below: float  # of the mean familiarity
     bits: int
+    foreign_caught: float = 0.0  # share of enciphered texts under it
+
+    def __post_init__(self) -> None:
+        self.familiar = np.abs(self.table - self.table.mean(axis=1, keepdims=True)).max(axis=1)
 
 
 def subwords(texts: Sequence[str], kinds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,13 +96,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def train(
     texts: Sequence[str], labels: Sequence[str], *, bits: int = 15, dim: int = 12, window: int = 24,
-    max_windows: int = 16_000, epochs: int = 4, rate: float = 4.0, batch: int = 64, seed: int = 5, reject_quantile: float = 0.001, reject_at_most: float = 0.4,
+    max_windows: int = 16_000, epochs: int = 4, rate: float = 4.0, batch: int = 64, seed: int = 5, reject_error: float = 0.001,
 ) -> LanguageModel | None:
     """Fit on labelled texts; every fifth document is kept for calibration.
 
-    ``max_windows`` bounds the training windows (drawn evenly over documents). The
-    rejection score is the one that nearly all right calibration texts exceed, but
-    ``reject_at_most``: texts in two languages keep the stronger one.
+    ``max_windows`` bounds the training windows (drawn evenly over documents).
     """
     kinds, rng = word_table(), np.random.default_rng(seed)
     languages = sorted(set(labels))
@@ -130,38 +139,66 @@ def train(
             emb -= step * 20 * grad
     model = LanguageModel(languages, (emb @ out).astype(np.float32), bias, 1.0, 0.0, bits)
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    z, has = logits([texts[i] for i in check], model, kinds)
-    z, truth = z[has], y_doc[check][has]
-    if len(z):
-        grid = np.geomspace(0.1, 4, 24)
-        loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(z)), truth], 1e-12)).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
-        p = softmax(z / model.temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == truth]
-        if len(right):
-            model.reject_below = float(min(np.quantile(right, reject_quantile) * 0.9, reject_at_most))
+    calibrate(model, [texts[i] for i in check], y_doc[check], kinds, rng, reject_error)
     return model
 
 
-def logits(texts: Sequence[str], model: LanguageModel, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    b, of, has = subwords(texts, kinds, model.bits)
-    return means(model.table[b], of, len(texts)) + model.bias, has
-
-
-def predict(texts: Sequence[str | None], model: LanguageModel | None, kinds: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; whole texts, a chunk of rows at a time."""
-    lang, score = [UND] * len(texts), np.zeros(len(texts))
+def calibrate(model: LanguageModel, texts: Sequence[str], y: np.ndarray, kinds: np.ndarray, rng: np.random.Generator, reject_error: float) -> None:
+    """Set the temperature on windows of five words, and the rejection limit on known texts; measure it on foreign ones."""
+    parts = [t.split() for t in texts]
+    short = [" ".join(w[len(w) // 2 : len(w) // 2 + 5]) for w in parts]
+    z, _, has = judged(short, model, kinds)
+    z, truth = z[has], y[has]
+    if not len(z):
+        return
+    grid = np.geomspace(0.1, 4, 24)
+    loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(z)), truth], 1e-12)).mean() for t in grid]
+    model.temperature = float(grid[int(np.argmin(loss))])
+    other = rng.permutation(len(parts))
+    mixed = [" ".join(a[: min(len(a), len(b))] + b[: min(len(a), len(b))]) for a, b in ((parts[i], parts[j]) for i, j in enumerate(other) if y[i] != y[j])]
+    known = np.concatenate([familiar[has] for _, familiar, has in (judged(part, model, kinds) for part in (texts, short, mixed))])
+    letters = [chr(c) for c in range(97, 123)]
+    foreign = [t.lower().translate(dict(zip(range(97, 123), rng.permutation(letters), strict=True))) for t in texts]
+    _, strange, has = judged(foreign, model, kinds)
+    model.reject_below = float(np.quantile(known, reject_error))
+    model.foreign_caught = float((strange[has] < model.reject_below).mean()) if has.any() else 0.0
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of at most PIECE code points that end at white space, where there is any."""
+    a = 0
+    while len(text) - a > PIECE:
+        cut = max(text.rfind(" ", a, a + PIECE), text.rfind("\n", a, a + PIECE))
+        b = cut + 1 if cut >= a else a + PIECE
+        yield text[a:b]
+        a = b
+    yield text[a:]
+
+
+def judged(texts: Sequence[str | None], model: LanguageModel, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits and familiarity of each text, and whether it has a letter; whole texts, a chunk of pieces at a time."""
+    n, k = len(texts), len(model.languages)
+    total, count, has = np.zeros((n, k + 1)), np.zeros(n), np.zeros(n, bool)
+    own = [(i, x) for i, t in enumerate(texts) for x in pieces(t or "")]
+    values = np.column_stack([model.table, model.familiar]).astype(np.float64)
+    for a, b in text_chunks([len(x) for _, x in own]):
+        buckets, of, some = subwords([x for _, x in own[a:b]], kinds, model.bits)
+        at, m = np.array([i for i, _ in own[a:b]]), np.bincount(of, minlength=b - a)
+        np.add.at(total, at, means(values[buckets], of, b - a) * m[:, None])
+        np.add.at(count, at, m)
+        np.logical_or.at(has, at, some)
+    mean = total / np.maximum(count, 1)[:, None]
+    return mean[:, :k] + model.bias, mean[:, k], has
+
+
+def predict(texts: Sequence[str | None], model: LanguageModel | None, kinds: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and whether it is rejected."""
     if model is None:
-        return lang, score
-    full = [t or "" for t in texts]
-    for a, b in text_chunks([len(t) for t in full]):
-        z, has = logits(full[a:b], model, kinds)
-        p = softmax(z / model.temperature)
-        best = p.argmax(axis=1)
-        for i in np.flatnonzero(has):
-            lang[a + i] = model.languages[best[i]]
-        score[a:b] = np.where(has, p.max(axis=1), 0.0)
-    return lang, score
+        return [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    z, familiar, has = judged(texts, model, kinds)
+    p = softmax(z / model.temperature)
+    lang = [model.languages[k] if some else UND for k, some in zip(p.argmax(axis=1), has, strict=True)]
+    return lang, np.where(has, p.max(axis=1), 0.0), ~has | (familiar < model.reject_below)
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", held_fold: int = 0, folds: int = 5, max_docs: int = 2500, max_chars: int = 8_000_000, **options) -> LanguageModel | None:
@@ -182,8 +219,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            names, scores = predict(batch.column(where).to_pylist(), model, kinds)
-            low = [x == UND or s < model.reject_below for x, s in zip(names, scores, strict=True)] if model else [True] * len(names)
+            names, scores, low = predict(batch.column(where).to_pylist(), model, kinds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(low, pa.bool_())], names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)

@@ -384,6 +384,23 @@ def test_language_id(spark, small):
     assert np.mean([r["rejected"] for r in got]) < 0.01
 
 
+def test_language_id_rejects_foreign_texts(spark, small):
+    """Known texts, whole, short or of two languages, stay; most texts in other languages go; pieces change nothing."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, small.replace("sf0.001", "sf0.1"), "documents").filter("doc_id < 4000 AND text IS NOT NULL AND lang IS NOT NULL").collect()]
+    learn, held = [r for r in rows if r[0] % 3], [r for r in rows if r[0] % 3 == 0]
+    model = langid.train([r[1] for r in learn], [r[2] for r in learn])
+    assert model.foreign_caught > 0.8
+    rejected = lambda texts: langid.predict(texts, model, KINDS)[2].mean()
+    assert rejected([r[1] for r in held]) < 0.005 and rejected([" ".join(r[1].split()[:6]) for r in held]) < 0.01
+    assert rejected([" ".join(a[1].split()[:40] + b[1].split()[:40]) for a, b in zip(held, held[1:], strict=False)]) < 0.005
+    foreign = ["Kot siedzi na płocie i patrzy na ptaki, które śpiewają wysoko na drzewie", "кошка сидит на заборе и смотрит на птиц", "これは日本語の文章です", "Kissa istuu aidalla ja katselee lintuja jotka laulavat puussa", "kedi duvarın üzerinde oturuyor ve kuşlara bakıyor"]
+    assert rejected(foreign) >= 0.8
+    long = " ".join(r[1] for r in held[:400])
+    assert len(long) > 2 * langid.PIECE and "".join(langid.pieces(long)) == long
+    whole, (z, familiar, has) = langid.subwords([long], KINDS, model.bits), langid.judged([long], model, KINDS)
+    assert has[0] and abs(familiar[0] - model.familiar[whole[0]].mean()) < 0.01
+
+
 def test_language_id_edges(spark, edge):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.language_id(edge).collect()}
     assert got[1] == got[2] == got[3] == got[7] == "und" and got[4] == "en"
