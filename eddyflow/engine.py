@@ -21,7 +21,7 @@ from eddyflow.catalog import Catalog, Object
 from eddyflow.errors import CatalogError, SqlError, StreamError
 from eddyflow.functions import scalar
 from eddyflow.operators import changelog
-from eddyflow.operators.windows import in_micros
+from eddyflow.operators.windows import in_micros, micros
 from eddyflow.sources import connectors
 from eddyflow.sources.schema import type_of
 from eddyflow.sql import lex, rewrite
@@ -29,6 +29,7 @@ from eddyflow.streaming import run as streaming
 from eddyflow.streaming.views import Subscription, View
 
 ORDER = "__arrival"
+LINEAGE = 32  # inserts after which a source's rows are cut from those that made them
 SKEW = 300  # seconds that an event may be ahead of the clock and still move the watermark
 
 
@@ -40,6 +41,7 @@ class Engine:
         self.data: dict[str, DataFrame] = {}
         self.arrivals: dict[str, int] = {}
         self.watermarks: dict[str, int] = {}
+        self.touched: dict[str, float] = {}
         self.running: dict[str, object] = {}
         self.views: dict[str, View] = {}
         self.cursors: dict[str, Subscription] = {}
@@ -86,8 +88,10 @@ class Engine:
             self.cursors[lex.name_of(ts[1].text)] = self._subscribe(text[ts[i].start :], ts[i:])
             return "DECLARE"
         if at("FETCH"):
-            n = next((int(t.text) for t in ts if t.kind == "number"), 1)
-            return self._cursor(lex.name_of(ts[-1].text)).fetch(n)
+            cursor = self._cursor(lex.name_of(ts[-1].text))
+            if any(t.upper == "ALL" for t in ts[1:3]):
+                return cursor.frame()
+            return cursor.fetch(next((int(t.text) for t in ts if t.kind == "number"), 1))
         if at("CLOSE"):
             self._cursor(lex.name_of(ts[1].text)).close()
             del self.cursors[lex.name_of(ts[1].text)]
@@ -232,12 +236,24 @@ class Engine:
             sources = self._time_sources(q.sql)
             if not sources:
                 raise StreamError(f"EMIT {q.emit.upper()} needs a source with a watermark")
-            marks = [self.watermark(x.name) for x in sources]
-            least = -(1 << 60) if None in marks else min(marks)  # the slowest source holds all windows open
+            least = self.least_watermark([x.name for x in sources])
             mark, late = f"CAST(timestamp_micros({least}) AS TIMESTAMP_NTZ)", max(x.lateness_us for x in sources)
         done = rewrite.rewrite(self.spark, text, watermark=mark, lateness_us=late)
         return self.spark.sql(done.sql)
 
+    def least_watermark(self, sources: list[str]) -> int:
+        """What holds windows open: the slowest source that is not idle; if all are idle, the furthest.
+
+        A source is idle if it has an ``idle_timeout`` and got no row for so long.
+        """
+        marks = {n: self.watermark(n) for n in sources}
+        limit = {n: self.catalog.objects[n].options.get("idle_timeout") for n in sources}
+        awake = [n for n in sources if limit[n] is None or time.time() - self.touched.get(n, 0.0) < micros(limit[n]) / 1e6]
+        low = -(1 << 60)
+        if awake:
+            return min(low if marks[n] is None else marks[n] for n in awake)
+        return max(low if m is None else m for m in marks.values())
+
     def _time_sources(self, sql: str) -> list[Object]:
         """All sources with a watermark that a query reads, itself or through streams."""
         used = {lex.name_of(t.text) for t in lex.tokens(sql) if t.kind in ("word", "name")} & set(self.catalog.objects)
@@ -284,6 +300,7 @@ class Engine:
             df = df.filter(col.isNotNull() & ~late)
         n = df.count()
         stats["rows"] += n
+        self.touched[name] = time.time()
         self.arrivals[name] = self.arrivals.get(name, 0) + 1
         new = df.withColumn(ORDER, F.lit(self.arrivals[name]).cast("long"))
         old = self.data[name]
@@ -292,6 +309,8 @@ class Engine:
             self.data[name] = changelog.upsert_table(old, last, x.keys)
         else:
             self.data[name] = old.unionByName(new)
+        if self.arrivals[name] % LINEAGE == 0 and self.spark.sparkContext.getCheckpointDir():
+            self.data[name] = self.data[name].checkpoint()
         self._publish(x)
         return n
 
@@ -399,7 +418,7 @@ class Engine:
             source = streaming.with_watermark(source, src.watermark[0], f"{src.watermark[1]} us")
         alias = f"stream_{uuid.uuid4().hex}"
         source.createOrReplaceTempView(alias)
-        body = re.sub(rf"\b{re.escape(src.name)}\b", alias, rewrite.split_emit(x.sql).sql) if src else x.sql
+        body = renamed(rewrite.split_emit(x.sql).sql, src.name, alias) if src else x.sql
         q = rewrite.rewrite(self.spark, body)
         mode = streaming.output_mode(x.emit, q.windowed) if x.emit or q.windowed else "append"
         query = streaming.start(self.spark.sql(q.sql), mode=mode, sink=sink or self.view(name), available=available, checkpoint=checkpoint)
@@ -448,6 +467,14 @@ class Engine:
         return [(n, self.catalog.objects[n].kind, self.catalog.objects[n].inputs) for n in self.catalog.order()]
 
 
+def renamed(sql: str, name: str, to: str) -> str:
+    """A query that reads ``to`` in the place of ``name``; string literals stay as they are."""
+    for t in reversed(lex.tokens(sql)):
+        if t.kind in ("word", "name") and lex.name_of(t.text) == name:
+            sql = sql[: t.start] + to + sql[t.end :]
+    return sql
+
+
 def open_engine(spark: SparkSession | None = None) -> Engine:
     """An engine on a session, or on a new one."""
     from eddyflow.session import session

@@ -104,7 +104,7 @@ text("O01_lag", "SELECT event_id, lag(value, 1) OVER (PARTITION BY user_id ORDER
 text("O02_lead", "SELECT event_id, lead(value, 1) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM $events")
 text("O03_first_last", "SELECT event_id, first_value(value) OVER (PARTITION BY user_id ORDER BY ts) AS f, last_value(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM $events")
 text("O04_nth_value", "SELECT event_id, nth_value(value, 3) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM $events")
-text("O05_ranks", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM $lineitem WHERE l_suppkey < 20) t WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber)")
+text("O05_ranks", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr FROM $lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber)")
 text("O06_distribution", "SELECT c_custkey, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd, CAST(ntile(4) OVER w AS BIGINT) AS q FROM $customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)")
 text("O07_frames", "SELECT event_id, round(avg(value) OVER w, 6) AS a, round(sum(value) OVER w, 6) AS s, min(value) OVER w AS lo, max(value) OVER w AS hi, count(*) OVER w AS n FROM $events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 text("O07_range_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS n FROM $events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import functions as F
 
 from eddyflow.engine import Engine
@@ -22,23 +20,23 @@ text("U05_union_of_slices", "SELECT event_id FROM (SELECT * FROM $events WHERE u
 text("F04_parquet_pruning", "SELECT l_orderkey, l_tax FROM $lineitem WHERE l_orderkey < 50")
 
 
-@query("S01_push", "SELECT event_type, count(*) AS n FROM events WHERE event_id < 500 GROUP BY event_type")
+@query("S01_push", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def push(spark, d):
     """Rows pushed into a declared source."""
     e = Engine(spark)
     e.execute("CREATE SOURCE pushed (event_id BIGINT, event_type VARCHAR)")
-    e.insert("pushed", table(spark, d, "events").filter("event_id < 500").select("event_id", "event_type"))
+    e.insert("pushed", table(spark, d, "events").select("event_id", "event_type"))
     return e.sql("SELECT event_type, COUNT(*) AS n FROM pushed GROUP BY event_type")
 
 
-@query("S02_live_scan", "SELECT count(*) AS n FROM events WHERE event_id < 300")
+@query("S02_live_scan", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
 def live_scan(spark, d):
     """A view over a source sees rows that come after it was made."""
     e = Engine(spark)
-    e.execute("CREATE SOURCE live (event_id BIGINT); CREATE STREAM counted AS SELECT COUNT(*) AS n FROM live")
+    e.execute("CREATE SOURCE live (event_id BIGINT); CREATE STREAM counted AS SELECT COUNT(*) AS n, SUM(event_id) AS ids FROM live")
     for k in range(3):
-        e.insert("live", table(spark, d, "events").filter(c("event_id").between(100 * k, 100 * k + 99)).select("event_id"))
-    return e.sql("SELECT n FROM counted")
+        e.insert("live", table(spark, d, "events").filter(c("event_id") % 3 == k).select("event_id"))
+    return e.sql("SELECT n, ids FROM counted")
 
 
 @query("S03_stream_scan", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value > 10")
@@ -85,12 +83,10 @@ def snapshot_of_view(spark, d):
 
 @query("K01_subscription", "SELECT event_id FROM events WHERE event_type = 'click' AND value > 90")
 def subscription(spark, d):
-    """Rows of a stream's first epoch, fetched through a cursor with a filter."""
+    """Rows of a stream's first epoch, through a subscription with a filter."""
     e = engine(spark, d)
     e.run_cycle("clicks")
-    cursor = e.subscribe("clicks", "value > 90")
-    rows = list(itertools.chain.from_iterable(iter(lambda: cursor.fetch(100), [])))
-    return spark.createDataFrame([(r["event_id"],) for r in rows], "event_id long")
+    return e.subscribe("clicks", "value > 90").frame().select("event_id")
 
 
 @query("K11_idempotent_epochs", "SELECT count(*) AS n FROM events")
@@ -123,10 +119,16 @@ def running_state(spark, d):
     return got.groupBy("event_type").agg(F.max("n").alias("n"), F.max("hi").alias("hi"))
 
 
-@query("E04_every", "SELECT 5000 AS ms, 'update' AS mode")
+@query("E04_every", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def every(spark, d):
-    t = run.trigger_of("every interval '5 seconds'", False)["processingTime"]
-    return spark.range(1).select(F.lit(int(t.split()[0])).alias("ms"), F.lit(run.output_mode("every 5000 ms")).alias("mode"))
+    """Running groups, emitted at each turn of a clock; each group's last state counts all its rows."""
+    folder = scratch(spark)
+    view = views.View(spark, f"{folder}/view")
+    x = stream(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    q = run.start(x, emit="every interval '200 milliseconds'", sink=view, checkpoint=f"{folder}/cp")
+    q.processAllAvailable()
+    q.stop()
+    return view.since(-1).groupBy("event_type").agg(F.max_by("n", "epoch").alias("n"), F.max_by("total", "epoch").alias("total"))
 
 
 @query("E06_final", "SELECT event_type, w AS window_start, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS w, (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS wm FROM events) GROUP BY event_type, w, wm HAVING w + INTERVAL 1 DAY <= wm")
@@ -140,12 +142,12 @@ def watermark_sort(spark, d):
     return run.drain(stateful.in_order(e, "ts", "1 day", ["event_id"])).select("bucket", "place", "event_id")
 
 
-@query("P06_stream_temporal_filter", "SELECT count(*) AS entered, count(*) FILTER (WHERE epoch_us(ts) // 1000 + 86400000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 - 1000 FROM events)) > 0 AS some_left FROM events")
+@query("P06_stream_temporal_filter", """WITH x AS (SELECT event_id, CAST(ceil((epoch_us(ts) // 1000 + 86400000) / 1000.0) * 1000 AS BIGINT) AS leaves FROM events), m AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS wm FROM events)
+    SELECT event_id, CAST(1 AS BIGINT) AS weight FROM x UNION ALL SELECT event_id, -1 FROM x, m WHERE leaves < wm""")
 def stream_temporal_filter(spark, d):
-    """Each event enters once; those that the watermark has passed by a day have left."""
+    """Each event enters once; each that the watermark has passed by a day is retracted."""
     e = run.with_watermark(stream(spark, d).select("event_id", "ts"), "ts", "1 hour")
-    got = run.drain(stateful.temporal_filter(e, "event_id", "ts", "1 day"))
-    return got.agg(F.count(F.when(c("__weight") == 1, 1)).alias("entered"), (F.count(F.when(c("__weight") == -1, 1)) > 0).alias("some_left"))
+    return run.drain(stateful.temporal_filter(e, "event_id", "ts", "1 day")).select("event_id", c("__weight").alias("weight"))
 
 
 @query("ST09_late_in_window", "SELECT count(*) AS n FROM events WHERE event_id % 2 = 0")
@@ -174,16 +176,25 @@ def cursor(spark, d):
     e = engine(spark, d)
     e.run_cycle("buys")
     e.execute("DECLARE c CURSOR FOR SUBSCRIBE buys")
-    rows = list(itertools.chain.from_iterable(iter(lambda: e.execute("FETCH FORWARD 500 FROM c"), [])))
+    rows = e.execute("FETCH ALL FROM c")
     e.execute("CLOSE c")
-    return spark.createDataFrame([(r["event_id"],) for r in rows], "event_id long")
+    return rows.select("event_id")
 
 
-@query("ST18_hot_add_drop", "SELECT * FROM (VALUES ('buys'), ('late'), ('trades')) t(name)")
+@query("ST18_hot_add_drop", "SELECT event_id FROM events WHERE value > 50")
 def hot_add_drop(spark, d):
-    e = engine(spark, d)
-    e.execute("CREATE STREAM late AS SELECT * FROM buys WHERE value > 1; DROP STREAM clicks")
-    return spark.createDataFrame([(n,) for n, _, _ in e.topology()], "name string")
+    """While one stream runs another is added, and the first dropped; the second goes on."""
+    e = Engine(spark)
+    e.execute("CREATE SOURCE ev (event_id BIGINT, event_type VARCHAR, value DOUBLE); CREATE STREAM first AS SELECT event_id FROM ev WHERE event_type = 'click'")
+    source = lambda: stream(spark, d, columns=["event_id", "event_type", "value", "ts"]).select("event_id", "event_type", "value")
+    e.start("first", source(), available=False, checkpoint=scratch(spark))
+    e.execute("CREATE STREAM second AS SELECT event_id FROM ev WHERE value > 50")
+    e.start("second", source(), available=False, checkpoint=scratch(spark))
+    e.execute("DROP STREAM first")
+    e.checkpoint()
+    assert list(e.running) == ["second"]
+    e.shutdown()
+    return e.view("second").read()
 
 
 @query("UD3_custom_connector", "SELECT i AS id, i * 2 AS twice FROM generate_series(0, 49) t(i)")
@@ -200,9 +211,79 @@ def pluggable(spark, d):
     return ai.infer(table(spark, d, "events"), "complete", "event_type", "said").select("event_id", "said")
 
 
-@query("API9_metrics", "SELECT CAST(1 AS BIGINT) AS late, CAST(1 AS BIGINT) AS null_time")
+@query("API9_metrics", """WITH m AS (SELECT max(ts) FILTER (WHERE event_id % 2 = 0) - INTERVAL '1 hour' AS wm FROM events) SELECT count(*) FILTER (WHERE event_id % 2 = 0 OR (event_id % 5 > 0 AND ts >= wm)) AS n_rows, count(*) FILTER (WHERE event_id % 2 = 1 AND event_id % 5 > 0 AND ts < wm) AS late, count(*) FILTER (WHERE event_id % 2 = 1 AND event_id % 5 = 0) AS null_time FROM events, m""")
 def metrics(spark, d):
+    """What a source counts: rows taken, late ones and those without a time; odd events come after even ones, every fifth of them timeless."""
+    e, x = Engine(spark), table(spark, d, "events").select("event_id", "ts")
+    e.execute("CREATE SOURCE m (event_id BIGINT, ts TIMESTAMP, WATERMARK FOR ts AS ts - INTERVAL '1' HOUR)")
+    e.insert("m", x.filter("event_id % 2 = 0"))
+    e.insert("m", x.filter("event_id % 2 = 1").withColumn("ts", F.when(c("event_id") % 5 > 0, c("ts"))))
+    got = e.metrics["m"]
+    return spark.createDataFrame([(got["rows"], got["late"], got["null_time"])], "n_rows long, late long, null_time long")
+
+
+# ---------------------------------------------------------------- watermarks of declared sources
+DAY = "time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')"
+CLOSED = f"SELECT event_type, {DAY} AS window_start, count(*) AS n FROM events, m GROUP BY event_type, {DAY}, wm HAVING {DAY} + INTERVAL '1 day' <= wm"
+DAYS = "SELECT event_type, window_start, COUNT(*) AS n FROM {} GROUP BY event_type, TUMBLE(ts, INTERVAL '1' DAY) EMIT ON WINDOW CLOSE"
+
+
+def declared(spark, *sources: str) -> Engine:
+    """An engine with sources (name, watermark and options) of the events' columns."""
     e = Engine(spark)
-    e.execute("""CREATE SOURCE m (v BIGINT, ts TIMESTAMP, WATERMARK FOR ts AS ts - INTERVAL '1' SECOND); INSERT INTO m VALUES (1, TIMESTAMP_NTZ '2024-01-01 00:00:10');
-      INSERT INTO m VALUES (2, TIMESTAMP_NTZ '2024-01-01 00:00:01'), (3, NULL), (4, TIMESTAMP_NTZ '2024-01-01 00:00:09.5')""")
-    return spark.createDataFrame([(e.metrics["m"]["late"], e.metrics["m"]["null_time"])], "late long, null_time long")
+    for s in sources:
+        name, _, tail = s.partition(" ")
+        mark, _, options = tail.partition(" WITH ")
+        e.execute(f"CREATE SOURCE {name} (event_id BIGINT, event_type VARCHAR, ts TIMESTAMP, WATERMARK FOR ts AS {mark})" + (f" WITH {options}" if options else ""))
+    return e
+
+
+def events(spark, d):
+    return table(spark, d, "events").select("event_id", "event_type", "ts")
+
+
+@query("ST02_skew_guard", "WITH m AS (SELECT max(ts) - INTERVAL '1 hour' AS wm FROM events) " + CLOSED)
+def skew_guard(spark, d):
+    """An event far ahead of the clock does not close the windows of the others."""
+    e = declared(spark, "ev ts - INTERVAL '1' HOUR")
+    e.insert("ev", spark.sql("SELECT -1L AS event_id, 'far' AS event_type, TIMESTAMP_NTZ '2999-01-01 00:00:00' AS ts"))
+    e.insert("ev", events(spark, d))
+    return e.sql(DAYS.format("ev"))
+
+
+@query("ST03_ascending", "WITH m AS (SELECT max(ts) AS wm FROM events) " + CLOSED)
+def ascending(spark, d):
+    """Event times that never go back: the watermark is the last of them."""
+    e = declared(spark, "ev ts")
+    e.insert("ev", events(spark, d))
+    return e.sql(DAYS.format("ev"))
+
+
+@query("ST03_source_provided", "WITH m AS (SELECT max(ts) + INTERVAL '2 days' AS wm FROM events) " + CLOSED)
+def source_provided(spark, d):
+    """The source says how far it has come."""
+    e = declared(spark, "ev ts - INTERVAL '1' HOUR")
+    e.insert("ev", events(spark, d))
+    e.advance("ev", int(events(spark, d).agg(F.max(F.unix_micros(c("ts").cast("timestamp")))).first()[0]) + 2 * 86_400_000_000)
+    return e.sql(DAYS.format("ev"))
+
+
+@query("ST05_slowest_source", "WITH h AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS half FROM events), k AS (SELECT events.* FROM events, h WHERE event_id % 2 = 0 OR ts < half), m AS (SELECT least(max(ts) FILTER (WHERE event_id % 2 = 0), max(ts) FILTER (WHERE event_id % 2 = 1)) - INTERVAL '1 hour' AS wm FROM k) " + CLOSED.replace("FROM events, m", "FROM k, m"))
+def slowest_source(spark, d):
+    """Of two sources the one that has come less far holds the windows open."""
+    e, x = declared(spark, "a ts - INTERVAL '1' HOUR", "b ts - INTERVAL '1' HOUR"), events(spark, d)
+    e.execute("CREATE STREAM both AS SELECT * FROM a UNION ALL SELECT * FROM b")
+    us = F.unix_micros(c("ts").cast("timestamp"))
+    lo, hi = x.agg(F.min(us), F.max(us)).first()
+    e.insert("a", x.filter("event_id % 2 = 0"))
+    e.insert("b", x.filter("event_id % 2 = 1").filter(us < lo + (hi - lo) // 2))
+    return e.sql(DAYS.format("both"))
+
+
+@query("ST05_idle_source", "WITH m AS (SELECT max(ts) - INTERVAL '1 hour' AS wm FROM events) " + CLOSED)
+def idle_source(spark, d):
+    """A source that gets no rows, and may be idle, holds nothing open."""
+    e = declared(spark, "a ts - INTERVAL '1' HOUR", "b ts - INTERVAL '1' HOUR WITH (idle_timeout = '1 second')")
+    e.execute("CREATE STREAM both AS SELECT * FROM a UNION ALL SELECT * FROM b")
+    e.insert("a", events(spark, d))
+    return e.sql(DAYS.format("both"))

@@ -29,7 +29,7 @@ def stream_tumble(spark, d):
 
 
 @query(
-    "ST02_stream_hop",
+    "W02_stream_hop",
     CLOSED.format(delay="1 hour") + """, x AS (SELECT *, unnest([0, 1]) AS k, time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') AS b FROM events)
     SELECT window_start, count(*) AS n FROM (SELECT b - k * INTERVAL '12 hours' AS window_start, wm FROM x, m) GROUP BY window_start, wm HAVING window_start + INTERVAL '1 day' <= wm""",
 )
@@ -39,7 +39,7 @@ def stream_hop(spark, d):
 
 
 @query(
-    "ST03_stream_session",
+    "W03_stream_session",
     CLOSED.format(delay="1 hour") + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g),
     k AS (SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL '6 hours' AS e, count(*) AS n FROM s GROUP BY user_id, sid) SELECT user_id, window_start, n FROM k, m WHERE e <= wm""",
 )
@@ -48,7 +48,7 @@ def stream_session(spark, d):
     return run.drain(e.groupBy(w.session("ts", "6 hours").alias("window"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", w.bounds()[0], "n"))
 
 
-@query("ST05_stream_interval_join", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR")
+@query("J07_stream_interval_join", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR")
 def stream_interval_join(spark, d):
     side = lambda kind, p: run.with_watermark(stream(spark, d), "ts", "1 hour").filter(F.col("event_type") == kind).select(F.col("event_id").alias(p), F.col("user_id").alias(f"u{p}"), F.col("ts").alias(f"t{p}"))
     near = F.expr("ua = ub AND tb >= ta AND tb <= ta + INTERVAL 6 HOURS")
@@ -64,7 +64,7 @@ def late_rows(spark, d):
         e.filter(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in/{k}")
     src = run.file_stream(spark, f"{folder}/in/*", e.schema)
     on_time, late = views.View(spark, f"{folder}/on_time"), views.View(spark, f"{folder}/late")
-    q = run.start(src, mode="append", sink=stateful.LateSplit("ts", w.micros("1 day"), 0, on_time, late), available=True, checkpoint=f"{folder}/cp")
+    q = run.start(src, mode="append", sink=stateful.LateSplit("ts", w.micros("1 day"), 0, on_time, late, f"{folder}/bounds"), available=True, checkpoint=f"{folder}/cp")
     q.awaitTermination()
     part = lambda v, kind: spark.read.option("basePath", v.path).parquet(v.path).groupBy("epoch").count().select(F.lit(kind).alias("kind"), F.col("count").alias("n"))
     return part(on_time, "on time").unionAll(part(late, "late").filter("n > 0"))

@@ -121,7 +121,7 @@ def cascade(spark, d):
 
 
 @query(
-    "W13_ohlc",
+    "A06_ohlc",
     """SELECT event_type, time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') AS window_start, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close FROM events GROUP BY ALL""",
 )
 def ohlc(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -50,8 +51,6 @@ def output_mode(emit: str | None, windowed: bool = True) -> str:
 def trigger_of(emit: str | None, available: bool) -> dict:
     if available:
         return {"availableNow": True}
-    import re
-
     if emit and (m := re.match(r"(?:every|periodically)\s+(?:interval\s+)?'?([^']+)'?", emit, re.I)):
         return {"processingTime": f"{micros(m[1]) // 1000} milliseconds"}
     return {"processingTime": "0 seconds"}
@@ -80,19 +79,28 @@ def start(
     return writer.format("memory").start()
 
 
-def drain(df: DataFrame, *, mode: str = "append", name: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Run over all that is available now and return the result: a table of what was emitted."""
+def drain(df: DataFrame, *, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run over all that is available now and return the result: a table of what was emitted.
+
+    Rows, state and progress are files of the shared folder; none pass through the driver.
+    """
+    from eddyflow.streaming.views import View
+
     spark = df.sparkSession
-    name = name or f"drained_{uuid.uuid4().hex}"
-    q = start(df, mode=mode, name=name, available=True, checkpoint=checkpoint)
-    q.awaitTermination()
-    return spark.table(name)
+    folder = folder or scratch(spark)
+    view = View(spark, f"{folder}/out")
+    start(df, mode=mode, sink=view, available=True, checkpoint=f"{folder}/checkpoint").awaitTermination()
+    return view.read() if view.epochs() else spark.createDataFrame([], df.schema)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one of the cluster, or a local one where none is set."""
+    """A new folder in the shared one of the cluster; a local one only where everything runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="eddyflow-stream-")
+    if base:
+        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise StreamError("a cluster needs spark.checkpoint.dir: a folder that all executors share")
+    return tempfile.mkdtemp(prefix="eddyflow-stream-")
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files: int = 1, **options) -> DataFrame:

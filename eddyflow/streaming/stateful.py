@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -108,16 +108,31 @@ class LateSplit:
     """A sink that parts each micro-batch into rows on time and late rows (a side output).
 
     The bound is the greatest event time of earlier batches less the delay and the
-    allowed lateness; null times are dropped and counted.
+    allowed lateness; null times are dropped and counted. With ``folder`` (in shared
+    storage) the bound is kept there after each epoch, so that a restarted query, or a
+    batch that comes again, has the bound that it had before.
     """
 
-    def __init__(self, ts: str, delay_us: int, lateness_us: int, on_time, late):
+    def __init__(self, ts: str, delay_us: int, lateness_us: int, on_time, late, folder: str | None = None):
         self.ts, self.slack, self.on_time, self.late = ts, delay_us + lateness_us, on_time, late
+        self.folder = folder
         self.bound: int | None = None
         self.nulls = 0
         self.dropped = 0
 
+    def _kept(self, spark: SparkSession, epoch: int) -> int | None:
+        """The bound after the last epoch before this one."""
+        path, fs = self._place(spark, "")
+        found = [s.getPath().getName().split("_") for s in fs.listStatus(path)] if fs.exists(path) else []
+        return max(((int(e), int(b)) for _, e, b in found if int(e) < epoch), default=(0, None))[1]
+
+    def _place(self, spark: SparkSession, name: str):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder.rstrip('/')}/{name}")
+        return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
     def __call__(self, batch: DataFrame, epoch: int) -> None:
+        if self.folder:
+            self.bound = self._kept(batch.sparkSession, epoch)
         us = F.unix_micros(F.col(self.ts).cast("timestamp"))
         top, nulls, n_late = batch.agg(F.max(us), F.count(F.when(F.col(self.ts).isNull(), 1)), F.count(F.when(us < (self.bound if self.bound is not None else -(1 << 62)), 1))).first()
         whole = batch.filter(F.col(self.ts).isNotNull())
@@ -128,3 +143,6 @@ class LateSplit:
         self.dropped += n_late
         if top is not None:
             self.bound = max(self.bound if self.bound is not None else top - self.slack, top - self.slack)
+        if self.folder and self.bound is not None:
+            path, fs = self._place(batch.sparkSession, f"bound_{epoch}_{self.bound}")
+            fs.create(path, True).close()

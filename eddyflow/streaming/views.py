@@ -92,5 +92,13 @@ class Subscription:
             out.append(row)
         return out
 
+    def frame(self) -> DataFrame:
+        """All rows that are left, as a table: nothing is fetched to the driver."""
+        if not self.open:
+            raise StreamError("the cursor is closed")
+        df = self.view.since(self.at)
+        self.at, self.rows = max(self.view.epochs(), default=self.at), iter(())
+        return (df.filter(self.where) if self.where else df).drop("epoch")
+
     def close(self) -> None:
         self.open = False

@@ -65,6 +65,9 @@ def test_asof_sql(spark):
     assert {(r[0], r[1]) for r in got.collect()} == {("A", 1.0), ("A", None), ("B", None)}
     near = e.sql("SELECT t.tts, q.price FROM hits t ASOF JOIN quotes q ON t.sym = q.sym AND MATCH_CONDITION(NEAREST(t.tts, q.qts)) WHERE t.sym = 'A' ORDER BY t.tts")
     assert [r[1] for r in near.collect()] == [2.0, 2.0]
+    for op in (">", "<"):
+        with pytest.raises(JoinError):
+            e.sql(f"SELECT t.sym FROM hits t ASOF JOIN quotes q MATCH_CONDITION(t.tts {op} q.qts) ON t.sym = q.sym")
     e.execute("CREATE MATERIALIZED VIEW m AS SELECT t.sym, q.price FROM hits t ASOF JOIN quotes q MATCH_CONDITION(t.tts >= q.qts) ON t.sym = q.sym")
     assert sorted((r[0], r[1]) for r in e.sql("SELECT * FROM m").collect() if r[1]) == [("A", 1.0), ("A", 2.0)]
     probe = e.sql("SELECT t.sym, p.offset_ms, q.price FROM hits t TEMPORAL PROBE JOIN quotes q ON (sym) TIMESTAMPS (tts, qts) LIST (0s, 5s) AS p WHERE t.sym = 'A'")

@@ -51,3 +51,4 @@ def test_plans(spark, small):
     for name in ("W02_hop", "J09_asof_nearest", "J07_interval_full", "X04_collapse", "J10_temporal_probe"):
         assert "Python" not in explain(name) and "InArrow" not in explain(name)
     assert "CartesianProduct" not in explain("J07_interval_inner")
+    assert "_key#" in explain("API6_asof") and "_b#" in explain("API6_asof")  # a hot key is cut by time
