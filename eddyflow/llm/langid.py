@@ -96,7 +96,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def train(
     texts: Sequence[str], labels: Sequence[str], *, bits: int = 15, dim: int = 12, window: int = 24,
-    max_windows: int = 16_000, epochs: int = 4, rate: float = 4.0, batch: int = 64, seed: int = 5, reject_error: float = 0.001,
+    max_windows: int = 16_000, epochs: int = 4, rate: float = 4.0, batch: int = 64, seed: int = 5, reject_error: float = 0.001, margin: float = 0.9,
 ) -> LanguageModel | None:
     """Fit on labelled texts; every fifth document is kept for calibration.
 
@@ -139,11 +139,11 @@ def train(
             emb -= step * 20 * grad
     model = LanguageModel(languages, (emb @ out).astype(np.float32), bias, 1.0, 0.0, bits)
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    calibrate(model, [texts[i] for i in check], y_doc[check], kinds, rng, reject_error)
+    calibrate(model, [texts[i] for i in check], y_doc[check], kinds, rng, reject_error, margin)
     return model
 
 
-def calibrate(model: LanguageModel, texts: Sequence[str], y: np.ndarray, kinds: np.ndarray, rng: np.random.Generator, reject_error: float) -> None:
+def calibrate(model: LanguageModel, texts: Sequence[str], y: np.ndarray, kinds: np.ndarray, rng: np.random.Generator, reject_error: float, margin: float) -> None:
     """Set the temperature on windows of five words, and the rejection limit on known texts; measure it on foreign ones."""
     parts = [t.split() for t in texts]
     short = [" ".join(w[len(w) // 2 : len(w) // 2 + 5]) for w in parts]
@@ -160,7 +160,7 @@ def calibrate(model: LanguageModel, texts: Sequence[str], y: np.ndarray, kinds:
     letters = [chr(c) for c in range(97, 123)]
     foreign = [t.lower().translate(dict(zip(range(97, 123), rng.permutation(letters), strict=True))) for t in texts]
     _, strange, has = judged(foreign, model, kinds)
-    model.reject_below = float(np.quantile(known, reject_error))
+    model.reject_below = margin * float(np.quantile(known, reject_error))
     model.foreign_caught = float((strange[has] < model.reject_below).mean()) if has.any() else 0.0
 
 
