@@ -10,7 +10,7 @@ from eddyflow.operators import windows as w
 from eddyflow.plans.front import engine
 from eddyflow.plans.registry import query, table, text
 from eddyflow.plans.streams import stream
-from eddyflow.sources import connectors, files, formats
+from eddyflow.sources import connectors, files, formats, lake
 from eddyflow.streaming import run, stateful, views
 from eddyflow.streaming.run import scratch
 
@@ -287,3 +287,50 @@ def idle_source(spark, d):
     e.execute("CREATE STREAM both AS SELECT * FROM a UNION ALL SELECT * FROM b")
     e.insert("a", events(spark, d))
     return e.sql(DAYS.format("both"))
+
+
+# ---------------------------------------------------------------- versioned tables
+def thirds(spark, d) -> lake.LakeTable:
+    """The events in three commits."""
+    t = lake.LakeTable(spark, scratch(spark))
+    for k in range(3):
+        t.append(table(spark, d, "events").filter(c("event_id") % 3 == k).select("event_id", "value"))
+    return t
+
+
+@query("S13_lake_snapshot", "SELECT event_id, value FROM events WHERE event_id % 3 < 2")
+def lake_snapshot(spark, d):
+    """A table as of its second version."""
+    return connectors.source(spark, "lake", None, {"path": thirds(spark, d).path, "version": "2"})
+
+
+@query("S13_lake_incremental", "SELECT event_id, value, CAST(event_id % 3 + 1 AS INT) AS version FROM events WHERE event_id % 3 > 0")
+def lake_incremental(spark, d):
+    """What came after the first version."""
+    got = connectors.source(spark, "lake", None, {"path": thirds(spark, d).path, "after": "1"})
+    return got.select("event_id", "value", c("_version").alias("version"))
+
+
+@query("K05_lake_merge", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT -o_orderkey - 1, 0 FROM orders WHERE o_orderkey % 11 = 0")
+def lake_merge(spark, d):
+    """Updates, deletes and new rows merged by key; of two changes of a key the later one counts."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    t = lake.LakeTable(spark, scratch(spark), ["o_orderkey"])
+    t.append(rows)
+    change = lambda where, key, price, op, n: rows.filter(where).select(key.alias("o_orderkey"), price.cast("double").alias("o_totalprice"), F.lit(op).alias("_op"), F.lit(n).alias("n"))
+    k, price = c("o_orderkey"), c("o_totalprice")
+    new = change("o_orderkey % 5 = 0", k, price + 1, "U", 1).unionAll(change("o_orderkey % 7 = 0", k, price, "D", 2)).unionAll(change("o_orderkey % 11 = 0", -k - 1, F.lit(0), "I", 1))
+    t.merge(new, order="n")
+    t.compact()
+    return t.read().select("o_orderkey", "o_totalprice")
+
+
+@query("K05_lake_exactly_once", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def lake_exactly_once(spark, d):
+    """A continuous query into a table; a batch that comes again, and one that was never committed, leave nothing."""
+    t, folder = lake.LakeTable(spark, scratch(spark)), scratch(spark)
+    sink = t.sink("events")
+    run.start(stream(spark, d).select("event_id"), mode="append", sink=sink, available=True, checkpoint=f"{folder}/cp").awaitTermination()
+    sink(table(spark, d, "events").select("event_id"), 0)
+    t.prepare(table(spark, d, "events").select("event_id"))
+    return t.read().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from eddyflow.errors import ConnectorError
-from eddyflow.sources import files
+from eddyflow.sources import files, lake
 
 Source = Callable[..., DataFrame]
 Sink = Callable[..., object]
@@ -108,6 +108,63 @@ def _write_kafka(df: DataFrame, options: dict) -> None:
     df.selectExpr("CAST(NULL AS STRING) AS key" if "key" not in options else f"CAST({options['key']} AS STRING) AS key", "to_json(struct(*)) AS value").write.format("kafka").options(**{"kafka.bootstrap.servers": brokers, "topic": topic}).save()
 
 
+def _versions(spark: SparkSession, schema, options: dict, streaming: bool) -> DataFrame:
+    """A versioned Parquet table: whole, as of ``version``, or what changed ``after`` one."""
+    (path,) = needed(options, "path")
+    t = lake.LakeTable(spark, path, [k.strip() for k in options.get("keys", "").split(",") if k.strip()])
+    to = int(options["version"]) if "version" in options else None
+    return t.changes(int(options["after"]), to) if "after" in options else t.read(to)
+
+
+def _write_versions(df: DataFrame, options: dict) -> int:
+    (path,) = needed(options, "path")
+    t = lake.LakeTable(df.sparkSession, path, [k.strip() for k in options.get("keys", "").split(",") if k.strip()])
+    mode = options.get("mode", "append")
+    if mode not in lake.KINDS:
+        raise ConnectorError(f"no mode {mode!r}; only {lake.KINDS}")
+    return {"append": t.append, "overwrite": t.overwrite, "merge": lambda x: t.merge(x, options.get("order"))}[mode](df)
+
+
+def upsert_statements(table: str, columns: list[str], keys: list[str]) -> tuple[str, str]:
+    """The statements (upsert, delete) that a keyed Postgres table takes for one changed key."""
+    if not keys or not set(keys) <= set(columns):
+        raise ConnectorError(f"an upsert into {table} needs keys among its columns")
+    q = lambda c: '"' + c.replace('"', '""') + '"'
+    rest = [c for c in columns if c not in keys]
+    on = f"ON CONFLICT ({', '.join(map(q, keys))}) DO " + (f"UPDATE SET {', '.join(f'{q(c)} = EXCLUDED.{q(c)}' for c in rest)}" if rest else "NOTHING")
+    return f"INSERT INTO {table} ({', '.join(map(q, columns))}) VALUES ({', '.join(['%s'] * len(columns))}) {on}", f"DELETE FROM {table} WHERE {' AND '.join(f'{q(k)} = %s' for k in keys)}"
+
+
+def upsert_sink(connect: Callable[[], object], table: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A function of (batch, epoch): a changelog's net changes as upserts and deletes, a transaction for each partition.
+
+    ``connect`` opens a DB-API connection on the executor. A batch that comes again makes the same changes.
+    """
+    from eddyflow.operators import changelog
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        net = changelog.upserts(batch if changelog.WEIGHT in batch.columns else changelog.encode(batch), keys)
+        columns = [c for c in net.columns if c != "_op"]
+        upsert, delete = upsert_statements(table, columns, keys)
+
+        def send(rows) -> None:
+            con = connect()
+            try:
+                cur = con.cursor()
+                for r in rows:
+                    if r["_op"] == "D":
+                        cur.execute(delete, [r[k] for k in keys])
+                    else:
+                        cur.execute(upsert, [r[c] for c in columns])
+                con.commit()
+            finally:
+                con.close()
+
+        net.foreachPartition(send)
+
+    return write
+
+
 for _name in ("files", "file"):
     register_source(_name, _files)
     register_sink(_name, _write_files)
@@ -116,5 +173,7 @@ register_source("kafka", _kafka)
 register_sink("kafka", _write_kafka)
 for _name in ("jdbc", "postgres", "mysql"):
     register_source(_name, _jdbc)
+register_source("lake", _versions)
+register_sink("lake", _write_versions)
 for _name in ("delta", "iceberg"):
     register_source(_name, _lake(_name))
