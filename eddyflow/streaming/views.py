@@ -45,6 +45,12 @@ class View:
             return []
         return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("epoch="))
 
+    def cut(self, epoch: int) -> None:
+        """Take away all epochs after ``epoch``."""
+        for later in self.epochs():
+            if later > epoch:
+                self._delete(f"{self.path}/epoch={later}")
+
     def read(self) -> DataFrame:
         """The view's rows: of the last epoch, or of all."""
         found = self.epochs()
