@@ -66,29 +66,19 @@ def lag(df: DataFrame, keys: list[str], ts: str, value: str, name: str = "previo
 def temporal_filter(df: DataFrame, key: str, ts: str, keep: str) -> DataFrame:
     """``ts > now() - keep`` as a changelog: a row is inserted when it comes, retracted when the watermark passes.
 
-    ``df`` has a watermark on ``ts``; ``key`` tells rows apart.
+    ``df`` has a watermark on ``ts``; ``key`` and ``ts`` tell rows apart. Rows without a time, and those that have left
+    before they come, give nothing. Spark moves the watermark after a batch: a row that leaves by the rows of the batch
+    before its own is inserted and retracted in one epoch.
     """
     from eddyflow.operators.windows import micros
 
-    schema = df.select(key, ts).schema.add(WEIGHT, "long")
-    wait = micros(keep) // 1000
-
-    def run(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at = pd.Timestamp(state.get[0], unit="us", tz="UTC")
-            state.remove()
-            yield pd.DataFrame({key: [group[0]], ts: [at], WEIGHT: [-1]})
-            return
-        for x in rows:
-            for at in x[ts]:
-                at = at.tz_localize("UTC") if at.tzinfo is None else at
-                leave = -(-(at.value // 1_000_000 + wait) // 1000) * 1000
-                if not state.exists and leave > state.getCurrentWatermarkMs():
-                    state.update((at.value // 1000,))
-                    state.setTimeoutTimestamp(leave)
-                    yield pd.DataFrame({key: [group[0]], ts: [at], WEIGHT: [1]})
-
-    return df.groupBy(key).applyInPandasWithState(run, schema, "us long", "append", GroupStateTimeout.EventTimeTimeout)
+    leave = F.ceil((F.unix_millis(F.col(ts)) + micros(keep) // 1000) / 1000).cast("long") * 1000
+    # The event time of what follows is when a row leaves, and state closes at the watermark: a millisecond later it has passed.
+    closes = F.timestamp_millis(leave + 1).alias("_closes", metadata={"spark.watermarkDelayMs": 0})
+    x = df.filter(F.col(ts).isNotNull()).select(key, F.unix_micros(F.col(ts)).alias("_at"), closes)
+    come, gone = x.dropDuplicates(), x.groupBy(key, "_at", "_closes").agg(F.lit(-1).cast("long").alias(WEIGHT))
+    come = come.withColumn(WEIGHT, F.lit(1).cast("long"))
+    return come.union(gone).select(key, F.timestamp_micros("_at").alias(ts), WEIGHT)
 
 
 def in_order(df: DataFrame, ts: str, bucket: str, order: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from eddyflow.errors import ChangelogError
 from eddyflow.operators import changelog as cl
+from eddyflow.streaming import run, stateful
 
 
 def log(spark, rows):
@@ -50,6 +51,19 @@ def test_temporal_filter(spark):
     assert changes(spark, 100_000, [99_000, 100_000, 102_000], upper="0 s", upper_strict=True) == [(1, 102_000)]
 
 
+def test_stream_temporal_filter(spark, tmp_path):
+    """Rows in a window of time that come late or with a known key are in; what has left, or has no time, gives nothing; no Python runs."""
+    files = [[(1, 50_000), (2, 100_000)], [(3, 95_000)], [(4, 70_000), (5, 99_500), (6, None), (2, 101_000), (2, 100_000)], [(7, 121_000), (8, 111_000)]]
+    for rows in files:
+        x = spark.createDataFrame(rows, "k int, ts long").withColumn("ts", F.timestamp_millis("ts"))
+        x.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = stateful.temporal_filter(run.with_watermark(run.file_stream(spark, f"{tmp_path}/in", x.schema), "ts"), "k", "ts", "10 s")
+    assert "Pandas" not in got._jdf.queryExecution().analyzed().toString()
+    left = [(1, 50_000), (2, 100_000), (2, 101_000), (3, 95_000), (5, 99_500)]
+    want = [(k, t, 1) for k, t in [*left, (7, 121_000), (8, 111_000)]] + [(k, t, -1) for k, t in left]
+    assert sorted(map(tuple, run.drain(got).select("k", F.unix_millis("ts"), cl.WEIGHT).collect())) == sorted(want)
+
+
 def test_upsert_table(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert sorted(map(tuple, cl.upsert_table(t, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
